@@ -4,6 +4,8 @@ combined by expressions and key joins, never by position."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +20,124 @@ def oof_group_mean(df: DataFrame, group: str, y: str, fold: str, out: str = "oof
     rest = F.col("_tc") - F.col("_c")
     pred = F.when(rest > 0, (F.col("_ts") - F.col("_s")) / rest)
     return j.withColumn(out, pred).drop("_s", "_c", "_ts", "_tc")
+
+
+# ---------------------------------------------------------------------------
+# seed bagging
+# ---------------------------------------------------------------------------
+
+def bag_predict(make_estimator, train: DataFrame, score: DataFrame, seeds: list[int], out: str = "prediction",
+                keep_members: bool = False) -> DataFrame:
+    """Fit one model per seed on ``train`` and average their predictions on
+    ``score``.  The member predictions are chained transforms of the same
+    frame (one pass, no joins); the mean is a column expression."""
+    members = []
+    scored = score
+    for i, seed in enumerate(seeds):
+        model = make_estimator(seed).fit(train)
+        col = f"p_bag{i}"
+        scored = model.setPredictionCol(col).transform(scored)
+        members.append(col)
+    mean = sum((F.col(c) for c in members), F.lit(0.0)) / len(members)
+    scored = scored.withColumn(out, mean)
+    return scored if keep_members else scored.drop(*members)
+
+
+# ---------------------------------------------------------------------------
+# out-of-fold predictions and stacking
+# ---------------------------------------------------------------------------
+
+def _apply(model, df: DataFrame, col: str) -> DataFrame:
+    if hasattr(model, "setPredictionCol"):
+        return model.setPredictionCol(col).transform(df)
+    model.prediction = col
+    return model.transform(df)
+
+
+def oof_predict(learners: dict, df: DataFrame, fold: str, k: int, score: DataFrame | None = None,
+                features: str = "features") -> tuple[DataFrame, DataFrame | None]:
+    """Out-of-fold predictions of every learner in ``learners`` (name -> fit
+    function taking a training frame and returning a model).
+
+    For fold i all learners are fitted on the other folds and applied to fold
+    i; the K fold blocks are unioned, so every row keeps its own key and
+    features (no positional concatenation).  With ``score``, each learner's
+    prediction there is the mean of its K fold models (no refit on all rows)."""
+    blocks = []
+    score_out = score
+    for i in range(k):
+        fit_part = df.where(F.col(fold) != i)
+        block = df.where(F.col(fold) == i)
+        for name, fit in learners.items():
+            model = fit(fit_part)
+            block = _apply(model, block, f"oof_{name}")
+            if score_out is not None:
+                score_out = _apply(model, score_out, f"_f{i}_{name}")
+        blocks.append(block)
+    oof = reduce(lambda a, b: a.unionByName(b), blocks)
+    if score_out is not None:
+        for name in learners:
+            cols = [f"_f{i}_{name}" for i in range(k)]
+            score_out = score_out.withColumn(f"oof_{name}", sum((F.col(c) for c in cols), F.lit(0.0)) / k) \
+                .drop(*cols)
+    return oof, score_out
+
+
+def stack(level1: dict, level2_fit, train: DataFrame, score: DataFrame, fold: str, k: int,
+          raw_features: list[str], restack: bool = True, out: str = "prediction") -> DataFrame:
+    """Two-level stack.  Level 1: out-of-fold predictions on train, fold-model
+    means on the scoring set.  Level 2 is fitted on the level-1 columns, plus
+    the raw features when ``restack`` is set, and applied to the scoring set."""
+    from ridecast.models.estimators import assemble
+    oof, s = oof_predict(level1, train, fold, k, score)
+    meta = [f"oof_{n}" for n in level1] + (list(raw_features) if restack else [])
+    l2_train = assemble(oof.drop("features"), meta, "features")
+    l2_score = assemble(s.drop("features"), meta, "features")
+    model = level2_fit(l2_train)
+    return _apply(model, l2_score, out)
+
+
+# ---------------------------------------------------------------------------
+# out-of-bag scoring
+# ---------------------------------------------------------------------------
+
+# Cumulative Poisson(1) probabilities P(X <= k), k = 0..7, used
+# to draw bootstrap multiplicities from a uniform hash.
+POISSON1_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898508837822)
+
+
+def poisson_weight(key: str, bag: int, seed: int = 1):
+    """Bootstrap multiplicity ~ Poisson(1) of a row in bag ``bag``, derived
+    from a hash of its key (reproducible, no rand(), no shuffle)."""
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.lit(bag))
+    u = (F.pmod(h, F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+    expr = None
+    for kk, c in enumerate(POISSON1_CDF):
+        expr = F.when(u <= c, F.lit(kk)) if expr is None else expr.when(u <= c, F.lit(kk))
+    return expr.otherwise(F.lit(len(POISSON1_CDF))).cast("double")
+
+
+def oob_bagging(train: DataFrame, key: str, label: str, bags: int = 10, max_depth: int = 10,
+                min_instances: int = 1, seed: int = 1, features: str = "features") -> DataFrame:
+    """Bagged regression trees with bootstrap weights; returns the training
+    rows with ``oob_pred`` = mean prediction of the bags that left the row out
+    (null when every bag drew it)."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from ridecast.models.estimators import clamp_depth
+    data = train
+    wcols, pcols = [], []
+    for b in range(bags):
+        data = data.withColumn(f"_w{b}", poisson_weight(key, b, seed))
+        wcols.append(f"_w{b}")
+    data = data.persist()
+    for b in range(bags):
+        tree = DecisionTreeRegressor(maxDepth=clamp_depth(max_depth), minInstancesPerNode=min_instances,
+                                     weightCol=f"_w{b}", labelCol=label, featuresCol=features,
+                                     predictionCol=f"_p{b}", seed=seed + b)
+        m = tree.fit(data.where(F.col(f"_w{b}") > 0))
+        data = m.transform(data)
+        pcols.append(f"_p{b}")
+    num = sum((F.when(F.col(w) == 0, F.col(p)).otherwise(0.0) for w, p in zip(wcols, pcols)), F.lit(0.0))
+    den = sum((F.when(F.col(w) == 0, 1).otherwise(0) for w in wcols), F.lit(0))
+    return data.withColumn("oob_pred", F.when(den > 0, num / den)).drop(*wcols, *pcols)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 from ridecast.operators.rank import global_rank
+from ridecast.session import cut_lineage
 
 INLINE_LIMIT = 1024
 BROADCAST_LIMIT = 200_000
@@ -54,7 +55,7 @@ class CategoryCodes:
             elif n <= self.broadcast_limit:
                 w = Window.orderBy("value")                                   # <= broadcast_limit rows
                 frame = distinct.select("value", (F.row_number().over(w) - 1).cast("int").alias("code"))
-                self.dictionaries[c] = _Dictionary(c, n, frame=frame.checkpoint(eager=True), broadcastable=True)
+                self.dictionaries[c] = _Dictionary(c, n, frame=cut_lineage(frame), broadcastable=True)
             else:
                 frame = global_rank(distinct, ["value"], name="code")
                 frame = frame.select("value", F.col("code").cast("int").alias("code"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridecast.session import checkpoint_dir
+from ridecast.session import cut_lineage
 
 _POS_BITS = 33
 
@@ -26,11 +26,9 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank0",
     ``order`` must be a total order (append a unique key) for the result to be
     deterministic.  The sorted frame is written to the checkpoint folder, which
     also cuts the lineage for whatever consumes the ranks."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     sorted_df = df.orderBy(*order) if partitions is None else \
         df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    tagged = sorted_df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tagged = cut_lineage(sorted_df.withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     pos = F.col("_mid") - F.shiftleft(pid, _POS_BITS)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
