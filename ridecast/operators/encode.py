@@ -46,20 +46,35 @@ class CategoryCodes:
     dictionaries: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "CategoryCodes":
+        """One pass over ``df`` for all columns: the distinct (column, value)
+        pairs of every same-typed group of columns are computed together
+        (partial aggregation map-side) and checkpointed; sizes, inline values
+        and the larger dictionaries are then read from that small table."""
+        by_type: dict = {}
         for c in self.columns:
-            distinct = df.select(F.col(c).alias("value")).where(F.col("value").isNotNull()).distinct()
-            n = distinct.count()
-            if n <= self.inline_limit:
-                vals = [r[0] for r in distinct.orderBy("value").collect()]   # bounded by inline_limit
-                self.dictionaries[c] = _Dictionary(c, n, values=vals)
-            elif n <= self.broadcast_limit:
-                w = Window.orderBy("value")                                   # <= broadcast_limit rows
-                frame = distinct.select("value", (F.row_number().over(w) - 1).cast("int").alias("code"))
-                self.dictionaries[c] = _Dictionary(c, n, frame=cut_lineage(frame), broadcastable=True)
-            else:
-                frame = global_rank(distinct, ["value"], name="code")
-                frame = frame.select("value", F.col("code").cast("int").alias("code"))
-                self.dictionaries[c] = _Dictionary(c, n, frame=frame)
+            by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+        for cols in by_type.values():
+            pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
+            distinct = cut_lineage(df.select(F.explode(pairs).alias("_p")).select("_p.*")
+                                   .where(F.col("value").isNotNull()).distinct())
+            sizes = {r[0]: r[1] for r in distinct.groupBy("column").count().collect()}   # one row per column
+            small = [c for c in cols if sizes.get(c, 0) <= self.inline_limit]
+            values: dict = {c: [] for c in small}
+            if small:
+                for r in distinct.where(F.col("column").isin(small)).collect():      # bounded: inline_limit each
+                    values[r[0]].append(r[1])
+            for c in cols:
+                n = sizes.get(c, 0)
+                one = distinct.where(F.col("column") == c).select("value")
+                if c in values:
+                    self.dictionaries[c] = _Dictionary(c, n, values=sorted(values[c]))
+                elif n <= self.broadcast_limit:
+                    w = Window.orderBy("value")                                   # <= broadcast_limit rows
+                    frame = one.select("value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+                    self.dictionaries[c] = _Dictionary(c, n, frame=cut_lineage(frame), broadcastable=True)
+                else:
+                    frame = global_rank(one, ["value"], name="code")
+                    self.dictionaries[c] = _Dictionary(c, n, frame=frame.select("value", F.col("code").cast("int")))
         return self
 
     def categories(self, col: str) -> list | None:

@@ -12,9 +12,11 @@ def _g(df: DataFrame, by):
     return df.groupBy(*by) if by else df.groupBy()
 
 
-def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=(), round_pred: bool = False) -> DataFrame:
+def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=(), round_pred: bool = False,
+                       with_rounded: bool = False) -> DataFrame:
     """MAE, RMSE, sqrt(MAE), explained variance (1 - var_pop(y-p)/var_pop(y)) and R^2.
-    With ``round_pred`` the prediction is rounded half-to-even first."""
+    With ``round_pred`` the prediction is rounded half-to-even first; with
+    ``with_rounded`` the MAE of the rounded prediction is added (same pass)."""
     pred = F.bround(F.col(p), 0) if round_pred else F.col(p)
     err = F.col(y) - pred
     a = _g(df, by).agg(
@@ -24,13 +26,15 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=(), round_p
         F.var_pop(err).alias("_ve"), F.var_pop(y).alias("_vy"),
         F.sum(err * err).alias("_sse"), (F.var_pop(y) * F.count(F.col(y))).alias("_sst"),
         F.count(F.lit(1)).alias("n"),
+        F.avg(F.abs(F.col(y) - F.bround(F.col(p), 0))).alias("mae_rounded"),
     )
     # constant y: explained variance and R^2 are 1 for a perfect fit and 0 otherwise
     ev = F.when(F.col("_vy") == 0, F.when(F.col("_ve") == 0, 1.0).otherwise(0.0)) \
         .otherwise(1 - F.col("_ve") / F.col("_vy"))
     r2 = F.when(F.col("_sst") == 0, F.when(F.col("_sse") == 0, 1.0).otherwise(0.0)) \
         .otherwise(1 - F.col("_sse") / F.col("_sst"))
-    return a.select(*by, "mae", "rmse", "sqrt_mae", ev.alias("explained_variance"), r2.alias("r2"), "n")
+    extra = ["mae_rounded"] if with_rounded else []
+    return a.select(*by, "mae", *extra, "rmse", "sqrt_mae", ev.alias("explained_variance"), r2.alias("r2"), "n")
 
 
 def mae(df: DataFrame, y: str = "y", p: str = "p", round_pred: bool = False) -> float:

@@ -21,13 +21,14 @@ from ridecast.operators.encode import (
     CategoryCodes, align_columns, auto_features, encode_all_strings, one_hot, rare_to_other,
 )
 from ridecast.operators.enrich import band_join, hour_band_pick, left_join_on, year_shift_union
+from ridecast.operators.joins import bounded_broadcast
 from ridecast.operators.folds import holdout_split, kfold_ntile, kfold_stratified
 from ridecast.operators.metrics import regression_metrics
 from ridecast.operators.scale import minmax_scale, standard_scale
 from ridecast.plans import bindings as B
 from ridecast.plans.registry import query
 from ridecast.plans.rides import RideFeatures, RideSpec
-from ridecast.session import scratch_path
+from ridecast.session import cut_lineage, scratch_path
 from ridecast.sources.csv_io import read_csv, write_csv
 from ridecast.sources.tables import load
 from ridecast.sources.travel import (
@@ -98,8 +99,11 @@ def _spark_weekday_bands(spark: SparkSession, d: str) -> DataFrame:
     wk = parse_date_range(weekday_travel_times(load(spark, d, "lineitem")))
     wk = wk.select(weekday_from_name("day_of_week_name").alias("day_of_week"), "date_start", "date_end",
                    "mean_travel_day", "lower_travel_day", "upper_travel_day")
-    return year_shift_union(wk, ["date_start", "date_end"], after=B.BAND_SHIFT_AFTER,
-                            before=B.BAND_SHIFT_BEFORE)
+    bands = year_shift_union(wk, ["date_start", "date_end"], after=B.BAND_SHIFT_AFTER,
+                             before=B.BAND_SHIFT_BEFORE)
+    # 7 rows per quarter (+ shifted copies): materialized once, so the join
+    # reads a tiny table and no band predicate is pushed into the ticket scan
+    return cut_lineage(bands)
 
 
 def _spark_shifted_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -596,7 +600,7 @@ FROM e LEFT JOIN w ON e.day = w.day
 def q_left_join_day(spark, d):
     w = day_of_month_mean(daily_travel_times(load(spark, d, "lineitem")), "date")
     e = load(spark, d, "events").select(F.col("event_id").alias("ride_id"), F.dayofmonth("ts").cast("int").alias("day"))
-    j = left_join_on(e, w, "day")
+    j = left_join_on(e, w, "day", bounded=True)                       # <= 31 rows
     return j.select("ride_id", "day", r6(F.col("daily_mean")).alias("daily_mean"),
                     r6(F.col("daily_upper")).alias("daily_upper"))
 
@@ -626,7 +630,7 @@ def q_hour_band_pick(spark, d):
     w = day_of_month_mean(daily_travel_times(load(spark, d, "lineitem")), "date")
     e = load(spark, d, "events").select(F.col("event_id").alias("ride_id"), F.dayofmonth("ts").cast("int").alias("day"),
                                         F.hour("ts").cast("int").alias("hour"))
-    j = hour_band_pick(left_join_on(e, w, "day"), "hour", _HOUR_NAMES)
+    j = hour_band_pick(left_join_on(e, w, "day", bounded=True), "hour", _HOUR_NAMES)
     return j.select("ride_id", "day", "hour", *[r6(F.col(c)).alias(c)
                                                 for c in ("hour_mean_time", "hour_min_time", "hour_max_time")])
 
@@ -641,7 +645,7 @@ FROM j
 """, covers=("JN-4", "NUL-2", "AG-4"))
 def q_left_join_mean_fill(spark, d):
     r = B.rides(spark, d).select("ride_id", F.to_date("travel_date").alias("travel_date"))
-    j = left_join_on(r, _spark_shifted_daily(spark, d), "travel_date", "date")
+    j = left_join_on(r, _spark_shifted_daily(spark, d), "travel_date", "date", bounded=True)   # one row per day
     f = fill_with_mean(j, "uber_travel_time")
     return f.select("ride_id", "travel_date", r6(F.col("uber_travel_time")).alias("uber_travel_time"))
 
@@ -679,9 +683,11 @@ def q_sql_band_join(spark, d):
     """The band join as SQL text over registered views.  The band table is
     bounded by the calendar (7 rows per quarter), hence the broadcast hint."""
     _train_rides(spark, d).createOrReplaceTempView("train")
-    _spark_weekday_bands(spark, d).createOrReplaceTempView("uber")
-    return spark.sql("""
-        SELECT /*+ BROADCAST(uber) */ train.*, uber.mean_travel_day, uber.lower_travel_day, uber.upper_travel_day
+    uber, small = bounded_broadcast(_spark_weekday_bands(spark, d), materialize=False)
+    uber.createOrReplaceTempView("uber")
+    hint = "/*+ BROADCAST(uber) */" if small else ""
+    return spark.sql(f"""
+        SELECT {hint} train.*, uber.mean_travel_day, uber.lower_travel_day, uber.upper_travel_day
         FROM train INNER JOIN uber ON train.day_of_week = uber.day_of_week
           AND train.travel_date BETWEEN uber.date_start AND uber.date_end
     """)
@@ -766,9 +772,7 @@ FROM f
 """, covers=("MET-1", "MET-2", "MET-3", "MET-4", "MET-5", "MTH-2"))
 def q_metrics(spark, d):
     f = _group_mean_frame(spark, d)
-    m = regression_metrics(f, "y", "p")
-    mr = f.agg(F.avg(F.abs(F.col("y") - half_even("p"))).alias("mae_rounded"))
-    out = m.crossJoin(mr)
+    out = regression_metrics(f, "y", "p", with_rounded=True)
     return out.select(*[r6(F.col(c)).alias(c) for c in ("mae", "mae_rounded", "rmse", "sqrt_mae",
                                                           "explained_variance", "r2")], "n")
 

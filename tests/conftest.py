@@ -15,6 +15,7 @@ def spark():
     ckpt = tempfile.mkdtemp(prefix="ridecast-test-ckpt-")
     s = (SparkSession.builder.master("local[4]").appName("ridecast-tests")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
