@@ -149,8 +149,9 @@ def ride_features_pipeline() -> RideFeatures:
                                                    "DT-5", "DT-11", "ENC-1", "ENC-2", "PRJ-7"))
 def q_ride_features(spark: SparkSession, d: str) -> DataFrame:
     rf = ride_features_pipeline()
-    rides = rf.count_tickets(B.tickets(spark, d))
-    return rf.fit_transform(rides).select("ride_id", "travel_date", "travel_from", "car_type",
+    tickets = B.tickets(spark, d)
+    rides = rf.count_tickets(tickets)
+    return rf.fit_tickets(tickets).transform(rides, train=True).select("ride_id", "travel_date", "travel_from", "car_type",
                                           "number_of_tickets", "month", "week", "is_weekend")
 
 
@@ -650,6 +651,13 @@ def q_left_join_mean_fill(spark, d):
     return f.select("ride_id", "travel_date", r6(F.col("uber_travel_time")).alias("uber_travel_time"))
 
 
+@query("band_year_shift", UBER_BANDS_SQL, covers=("FLT-3", "UN-2", "DT-9", "DT-10"))
+def q_band_year_shift(spark, d):
+    """Weekday bands plus the copies whose start is after and end before the
+    shift window (two chained filters on two date columns), one year ahead."""
+    return _spark_weekday_bands(spark, d)
+
+
 @query("weekday_name_index", f"""
 SELECT dow AS day_of_week, q_start AS date_start, q_end AS date_end, mean_travel_day, lower_travel_day, upper_travel_day
 FROM ({WEEKDAY_BANDS_SQL})

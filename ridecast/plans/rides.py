@@ -104,6 +104,20 @@ class RideFeatures:
         self.codes = CategoryCodes([self.spec.car_type, self.spec.travel_from]).fit(base)
         return self
 
+    def fit_tickets(self, tickets: DataFrame) -> "RideFeatures":
+        """Fit the dictionaries straight from the ticket rows.  Counting per
+        ride does not change which category values occur, so the distinct
+        values of the kept tickets (cutoff applied, rows with a null key
+        dropped, rare values merged) equal those of the counted rides, and the
+        fit skips the ride aggregation (a distinct over two low-cardinality
+        columns, combined map-side)."""
+        s = self.spec
+        kept = self._cutoff_filter(tickets).dropna(subset=s.keys).select(s.travel_from, s.car_type)
+        if self.rare:
+            kept = rare_to_other(kept, list(self.rare), self.other)
+        self.codes = CategoryCodes([s.car_type, s.travel_from]).fit(kept)
+        return self
+
     def transform(self, rides: DataFrame, train: bool = False) -> DataFrame:
         if self.codes is None:
             raise RuntimeError("fit first")

@@ -58,7 +58,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of the executors that computed it; never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialize ``df`` as a parquet table in the shared checkpoint folder
+    and return a frame reading it back.
+
+    Computes ``df`` exactly once (an RDD checkpoint recomputes an uncached
+    plan to write it), survives the loss of the executors that computed it,
+    cuts the lineage, and gives the optimizer file statistics for later join
+    choices.  Never a local checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    names = df.columns
+    safe = [f"c{i}" for i in range(len(names))]          # any column name survives the round trip
+    df.toDF(*safe).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).toDF(*names)

@@ -26,3 +26,18 @@ def test_ride_features_fit_transform(spark):
     s = {r.ride_id: r for r in rf.transform(score).collect()}
     assert s[10].travel_from == 2                         # merged to "other", seen
     assert (s[11].travel_from, s[11].car_type) == (-1, -1)  # unseen
+
+
+def test_fit_from_tickets_equals_fit_on_rides(spark):
+    tickets = spark.createDataFrame(
+        [(1, "17-10-17", "7:15", "Migori", "Bus"), (2, "2017-11-19", "8:05", "Kisii", "shuttle"),
+         (3, "1-1-17", "5:10", "Awendo", "Bus"), (4, "3-4-17", "23:59", "Oyugis", "van"),
+         (5, "2-4-17", None, "Rongo", "Bus")],
+        "ride_id long, travel_date string, travel_time string, travel_from string, car_type string")
+    a = RideFeatures(spec=RideSpec(), cutoff="2017-04-01", rare=("Oyugis",))
+    b = RideFeatures(spec=RideSpec(), cutoff="2017-04-01", rare=("Oyugis",))
+    a.fit(a.count_tickets(tickets))
+    b.fit_tickets(tickets)
+    for c in ("travel_from", "car_type"):
+        assert a.codes.categories(c) == b.codes.categories(c)
+    assert "Awendo" not in b.codes.categories("travel_from") and "Rongo" not in b.codes.categories("travel_from")
