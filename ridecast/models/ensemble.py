@@ -4,6 +4,7 @@ combined by expressions and key joins, never by position."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,15 +27,25 @@ def oof_group_mean(df: DataFrame, group: str, y: str, fold: str, out: str = "oof
 # seed bagging
 # ---------------------------------------------------------------------------
 
+def fit_all(fits: list, parallelism: int = 4) -> list:
+    """Run independent fits (zero-argument callables) concurrently from driver
+    threads; each fit is itself a distributed Spark job, the threads only keep
+    the cluster busy between a fit's small jobs (as CrossValidator does)."""
+    if parallelism <= 1 or len(fits) <= 1:
+        return [f() for f in fits]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(fits))) as pool:
+        return list(pool.map(lambda f: f(), fits))
+
+
 def bag_predict(make_estimator, train: DataFrame, score: DataFrame, seeds: list[int], out: str = "prediction",
-                keep_members: bool = False) -> DataFrame:
+                keep_members: bool = False, parallelism: int = 4) -> DataFrame:
     """Fit one model per seed on ``train`` and average their predictions on
     ``score``.  The member predictions are chained transforms of the same
     frame (one pass, no joins); the mean is a column expression."""
+    models = fit_all([lambda s=seed: make_estimator(s).fit(train) for seed in seeds], parallelism)
     members = []
     scored = score
-    for i, seed in enumerate(seeds):
-        model = make_estimator(seed).fit(train)
+    for i, model in enumerate(models):
         col = f"p_bag{i}"
         scored = model.setPredictionCol(col).transform(scored)
         members.append(col)
@@ -55,28 +66,32 @@ def _apply(model, df: DataFrame, col: str) -> DataFrame:
 
 
 def oof_predict(learners: dict, df: DataFrame, fold: str, k: int, score: DataFrame | None = None,
-                features: str = "features") -> tuple[DataFrame, DataFrame | None]:
+                features: str = "features", parallelism: int = 4) -> tuple[DataFrame, DataFrame | None]:
     """Out-of-fold predictions of every learner in ``learners`` (name -> fit
     function taking a training frame and returning a model).
 
-    For fold i all learners are fitted on the other folds and applied to fold
-    i; the K fold blocks are unioned, so every row keeps its own key and
-    features (no positional concatenation).  With ``score``, each learner's
-    prediction there is the mean of its K fold models (no refit on all rows)."""
+    For fold i all learners are fitted on the other folds (the K x J fits run
+    concurrently) and applied to fold i; the K fold blocks are unioned, so
+    every row keeps its own key and features (no positional concatenation).
+    With ``score``, each learner's prediction there is the mean of its K fold
+    models (no refit on all rows)."""
+    names = list(learners)
+    jobs = [(i, name) for i in range(k) for name in names]
+    models = fit_all([lambda i=i, name=name: learners[name](df.where(F.col(fold) != i)) for i, name in jobs],
+                     parallelism)
+    fitted = dict(zip(jobs, models))
     blocks = []
     score_out = score
     for i in range(k):
-        fit_part = df.where(F.col(fold) != i)
         block = df.where(F.col(fold) == i)
-        for name, fit in learners.items():
-            model = fit(fit_part)
-            block = _apply(model, block, f"oof_{name}")
+        for name in names:
+            block = _apply(fitted[(i, name)], block, f"oof_{name}")
             if score_out is not None:
-                score_out = _apply(model, score_out, f"_f{i}_{name}")
+                score_out = _apply(fitted[(i, name)], score_out, f"_f{i}_{name}")
         blocks.append(block)
     oof = reduce(lambda a, b: a.unionByName(b), blocks)
     if score_out is not None:
-        for name in learners:
+        for name in names:
             cols = [f"_f{i}_{name}" for i in range(k)]
             score_out = score_out.withColumn(f"oof_{name}", sum((F.col(c) for c in cols), F.lit(0.0)) / k) \
                 .drop(*cols)

@@ -38,12 +38,17 @@ def prepared(spark: SparkSession, d: str, folds: int | None = None):
     """(train, score): assembled features; train carries ``label`` (and
     ``fold`` with ``folds``) and is persisted, being read by every fit."""
     rf = ride_model_pipeline()
-    train = rf.fit_transform(B.train_rides(spark, d))
+    rides = B.train_rides(spark, d).persist()          # read by the dictionary fit and the feature pass
+    rf.fit(rides)
+    train = rf.transform(rides, train=True)
     score = rf.transform(B.score_rides(spark, d))
     train = assemble(train, FEATURES).withColumn("label", F.col(LABEL).cast("double"))
     if folds:
         train = kfold_ntile(train, "ride_id", k=folds)
-    return train.persist(), assemble(score, FEATURES)
+    train = train.persist()
+    train.count()                                        # fill the cache, then drop the ride cache
+    rides.unpersist()
+    return train, assemble(score, FEATURES)
 
 
 def _r6(c):
@@ -64,6 +69,7 @@ def q_rf_forecast(spark, d):
     est = lambda s: random_forest(n_estimators=20, max_depth=8, min_samples_leaf=1,
                                   min_impurity_decrease=0.0005, seed=s)
     pred = bag_predict(est, train, score, seeds=[1, 2])
+    train.unpersist()                                    # models fitted; output reads score only
     return pred.select("ride_id", half_even("prediction").alias("number_of_ticket"))
 
 
@@ -72,6 +78,7 @@ def q_bag_average(spark, d):
     train, score = prepared(spark, d)
     est = lambda s: random_forest(n_estimators=10, max_depth=6, seed=s)
     pred = bag_predict(est, train, score, seeds=[1, 2, 3], keep_members=True)
+    train.unpersist()                                    # models fitted; output reads score only
     return pred.select("ride_id", *[_r6(F.col(c)).alias(c) for c in ("p_bag0", "p_bag1", "p_bag2", "prediction")])
 
 
@@ -79,6 +86,7 @@ def q_bag_average(spark, d):
 def q_gbt_forecast(spark, d):
     train, score = prepared(spark, d)
     m = gradient_boosting(n_estimators=20, learning_rate=0.1, max_depth=5, subsample=0.5, seed=1).fit(train)
+    train.unpersist()                                    # models fitted; output reads score only
     return m.transform(score).select("ride_id", "actual", _r6(F.col("prediction")).alias("prediction"))
 
 
@@ -86,6 +94,7 @@ def q_gbt_forecast(spark, d):
 def q_gbt_mae_forecast(spark, d):
     train, score = prepared(spark, d)
     m = gradient_boosting(n_estimators=20, learning_rate=0.5, max_depth=5, loss="absolute", seed=1).fit(train)
+    train.unpersist()                                    # models fitted; output reads score only
     return m.transform(score).select("ride_id", "actual", _r6(F.col("prediction")).alias("prediction"))
 
 
@@ -94,6 +103,7 @@ def q_gbt_classify(spark, d):
     train, score = prepared(spark, d)
     train = train.withColumn("y_class", threshold_label(LABEL, 4).cast("double"))
     m = gradient_boosting_classifier(n_estimators=10, max_depth=4, seed=1, label="y_class").fit(train)
+    train.unpersist()
     from pyspark.ml.functions import vector_to_array
     out = m.transform(score)
     return out.select("ride_id", F.col("prediction").cast("int").alias("predicted_class"),
@@ -132,6 +142,7 @@ def q_ridge_coeffs(spark, d):
 def q_adaboost_r2(spark, d):
     train, score = prepared(spark, d)
     model = AdaBoostR2(n_estimators=5, learning_rate=0.05, max_depth=4, seed=1).fit(train)
+    train.unpersist()                                    # models fitted; output reads score only
     return model.transform(score).select("ride_id", _r6(F.col("prediction")).alias("prediction"))
 
 
@@ -139,6 +150,7 @@ def q_adaboost_r2(spark, d):
 def q_extra_trees(spark, d):
     train, score = prepared(spark, d)
     model = ExtraTrees(n_estimators=8, max_depth=8, max_features=0.5, seed=1).fit(train, FEATURES)
+    train.unpersist()                                    # models fitted; output reads score only
     return model.transform(score).select("ride_id", _r6(F.col("prediction")).alias("prediction"))
 
 
@@ -146,6 +158,7 @@ def q_extra_trees(spark, d):
 def q_importance_table(spark, d):
     train, _ = prepared(spark, d)
     m = random_forest(n_estimators=20, max_depth=8, seed=1).fit(train)
+    train.unpersist()
     return importance_table(spark, m, FEATURES)
 
 
@@ -167,6 +180,7 @@ def q_stack_two_level(spark, d):
     pred = stack({"gbt": _gbt_fit(10, 4), "rf": _rf_fit(10, 6)},
                  lambda df: random_forest(n_estimators=10, max_depth=6, seed=1).fit(df),
                  train, score, "fold", 5, FEATURES, restack=True)
+    train.unpersist()                                    # all levels fitted; output reads score only
     return pred.select("ride_id", _r6(F.col("prediction")).alias("prediction"))
 
 
@@ -176,6 +190,7 @@ def q_stack_transform(spark, d):
     pred = stack({"rf": _rf_fit(10, 6), "gbt": _gbt_fit(10, 4)},
                  lambda df: gradient_boosting(n_estimators=10, max_depth=3, seed=1).fit(df),
                  train, score, "fold", 5, FEATURES, restack=False)
+    train.unpersist()
     return pred.select("ride_id", _r6(F.col("prediction")).alias("prediction"))
 
 

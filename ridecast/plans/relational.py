@@ -529,13 +529,10 @@ def q_multi_file_union(spark, d):
 
 
 def _list_dirs(spark: SparkSession, base: str) -> list[str]:
-    """Quarter folders under ``base`` via the Hadoop file system of the path
-    (works for any shared file system the checkpoint folder lives on)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(str(s.getPath().toString()) for s in fs.listStatus(path)
-                  if s.isDirectory() and s.getPath().getName().startswith("quarter="))
+    """Quarter folders under ``base``, from the file listing of the written
+    table (driver-side listing only, no scan; works on any shared file system)."""
+    files = spark.read.option("header", True).csv(base).inputFiles()
+    return sorted({f.rsplit("/", 1)[0] for f in files if "/quarter=" in f})
 
 
 @query("csv_roundtrip", f"""
