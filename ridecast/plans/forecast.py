@@ -237,3 +237,18 @@ def q_random_search(spark, d):
     res = cross_validate(spark, gbt, g_maps, train, "fold", 3, learner="gradient_boosting", parallelism=4) \
         .unionByName(cross_validate(spark, rf, r_maps, train, "fold", 3, learner="random_forest", parallelism=4))
     return rank_results(res).withColumn("mean_mae", _r6(F.col("mean_mae")))
+
+
+@query("random_search_ev", covers=("SEL-2", "MET-4"))
+def q_random_search_ev(spark, d):
+    """Random search of the forest scored by cross-validated explained variance
+    (larger is better)."""
+    train, _ = prepared(spark, d, folds=3)
+    rf = random_forest(seed=1)
+    maps = sample_grid(rf, {"numTrees": [10, 20, 40], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 10]},
+                       3, seed=2)
+    res = cross_validate(spark, rf, maps, train, "fold", 3, learner="random_forest", parallelism=4,
+                         metric="explained_variance")
+    train.unpersist()
+    ranked = rank_results(res, "mean_explained_variance", larger_is_better=True)
+    return ranked.withColumn("mean_explained_variance", _r6(F.col("mean_explained_variance")))

@@ -130,3 +130,19 @@ def test_search(spark, data):
     assert len(ranked) == 4 and "maxDepth=5" in ranked[0].params
     maps = sample_grid(est, {"numTrees": [3, 6, 9], "maxDepth": [2, 5]}, 2, seed=1)
     assert len(maps) == 2 and maps == sample_grid(est, {"numTrees": [3, 6, 9], "maxDepth": [2, 5]}, 2, seed=1)
+
+
+def test_explained_variance_search(spark, data):
+    from ridecast.models.search import ExplainedVarianceEvaluator
+    train, score = data
+    m = random_forest(n_estimators=5, max_depth=5, seed=1).fit(train)
+    scored = m.transform(score)
+    rows = scored.select("label", "prediction").collect()
+    y = np.array([r.label for r in rows])
+    p = np.array([r.prediction for r in rows])
+    assert ExplainedVarianceEvaluator().evaluate(scored) == pytest.approx(1 - np.var(y - p) / np.var(y))
+    est = random_forest(seed=1)
+    res = cross_validate(spark, est, build_grid(est, {"maxDepth": [1, 5]}), train, "fold", 3,
+                         metric="explained_variance")
+    best = rank_results(res, "mean_explained_variance", larger_is_better=True).orderBy("rank").first()
+    assert "maxDepth=5" in best.params

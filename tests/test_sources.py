@@ -33,11 +33,11 @@ def _write_quarter_files(spark, base):
 
 
 def test_csv_roundtrip_embedded_commas(spark, tmpdir_fresh):
-    df = spark.createDataFrame([(1, "Westside, Gate 2", 3.5), (2, 'quote "x"', None)],
+    df = spark.createDataFrame([(1, "North Quay, Gate 2", 3.5), (2, 'quote "x"', None)],
                                "ride_id long, name string, number_of_ticket double")
     p = write_csv(df, f"{tmpdir_fresh}/out", single_file=True)
     back = read_csv(spark, p, schema="ride_id long, name string, number_of_ticket double")
-    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [(1, "Westside, Gate 2", 3.5),
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [(1, "North Quay, Gate 2", 3.5),
                                                                       (2, 'quote "x"', None)]
     inferred = read_csv(spark, p, infer=True)
     assert dict(inferred.dtypes)["ride_id"] == "int"
