@@ -79,11 +79,19 @@ def band_join(rides: DataFrame, bands: DataFrame, date_col: str, dow_col: str,
 
 def left_join_on(rides: DataFrame, ref: DataFrame, left_key: str, right_key: str | None = None,
                  drop_right_key: bool = True, bounded: bool = False,
-                 max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                 max_rows: int = BROADCAST_ROW_LIMIT, dedupe: bool = False) -> DataFrame:
     """Left equi-join; with a differently named right key, drop it afterwards.
     With ``bounded`` the reference side is materialized, counted and
-    broadcast when within ``max_rows``."""
+    broadcast when within ``max_rows``.  A reference table can repeat a key
+    (a date present in two quarterly files), which fans rides out; with
+    ``dedupe`` the repeats are merged first (numeric columns averaged, others
+    their minimum), one row per key."""
     right_key = right_key or left_key
+    if dedupe:
+        from pyspark.sql.types import NumericType
+        aggs = [(F.avg(f.name) if isinstance(f.dataType, NumericType) else F.min(f.name)).alias(f.name)
+                for f in ref.schema.fields if f.name != right_key]
+        ref = ref.groupBy(right_key).agg(*aggs)
     if bounded:
         ref, _ = bounded_broadcast(ref, max_rows)
     if right_key == left_key:

@@ -195,3 +195,13 @@ def test_band_join_shuffle_fallback(spark):
     a = sorted(map(tuple, band_join(rdf, bdf, "d", "dow", take=["m"], max_rows=0).select("id", "m").collect()))
     b = sorted(map(tuple, band_join(rdf, bdf, "d", "dow", take=["m"]).select("id", "m").collect()))
     assert a == b and len(a) == 120
+
+
+def test_left_join_dedupe(spark):
+    ref = spark.createDataFrame([(D(2017, 9, 29), 10.0), (D(2017, 9, 29), 20.0), (D(2017, 9, 30), 5.0)],
+                                "date date, t double")
+    rides = spark.createDataFrame([(1, D(2017, 9, 29)), (2, D(2017, 9, 30))], "id int, travel_date date")
+    fan = left_join_on(rides, ref, "travel_date", "date")
+    assert fan.count() == 3                                   # bag semantics: the repeated date fans out
+    one = {r.id: r.t for r in left_join_on(rides, ref, "travel_date", "date", dedupe=True).collect()}
+    assert one == {1: 15.0, 2: 5.0}
