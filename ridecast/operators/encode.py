@@ -55,8 +55,18 @@ class CategoryCodes:
             by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
         for cols in by_type.values():
             pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
-            distinct = cut_lineage(df.select(F.explode(pairs).alias("_p")).select("_p.*")
-                                   .where(F.col("value").isNotNull()).distinct())
+            distinct = (df.select(F.explode(pairs).alias("_p")).select("_p.*")
+                        .where(F.col("value").isNotNull()).distinct())
+            # fast path, one job: when all pairs fit the inline budget they are
+            # collected directly (bounded: at most inline_limit x columns rows)
+            budget = self.inline_limit * len(cols)
+            head = distinct.limit(budget + 1).collect() if budget > 0 else [None]
+            if len(head) <= budget:
+                for c in cols:
+                    vals = sorted(r[1] for r in head if r[0] == c)
+                    self.dictionaries[c] = _Dictionary(c, len(vals), values=vals)
+                continue
+            distinct = cut_lineage(distinct)
             sizes = {r[0]: r[1] for r in distinct.groupBy("column").count().collect()}   # one row per column
             small = [c for c in cols if sizes.get(c, 0) <= self.inline_limit]
             values: dict = {c: [] for c in small}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ridecast.functions.calendar import WEEKDAY_NAMES
-from ridecast.sources.csv_io import read_csv_many, write_csv
+from ridecast.sources.csv_io import read_csv_many
 
 # Band names of the daily file, in file order.
 BANDS = ("Daily", "AM", "PM", "Midday", "Evening", "Early Morning")
