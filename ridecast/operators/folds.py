@@ -17,23 +17,18 @@ def shuffle_key(key: str, seed: int) -> "F.Column":
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def _with_count(df: DataFrame) -> DataFrame:
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return df.crossJoin(F.broadcast(n))
-
-
 def holdout_split(df: DataFrame, key: str, test_size: float = 0.25, seed: int = 1,
                   shuffle: bool = True, name: str = "is_test") -> DataFrame:
     """Mark the last ``ceil(n * test_size)`` rows of the (shuffled or key) order as test."""
     order = [shuffle_key(key, seed), F.col(key)] if shuffle else [F.col(key)]
-    ranked = _with_count(global_rank(df, order, name="_r"))
+    ranked = global_rank(df, order, name="_r", total="_n")
     n_test = F.ceil(F.col("_n") * F.lit(test_size))
     return ranked.withColumn(name, (F.col("_r") >= F.col("_n") - n_test).cast("int")).drop("_r", "_n")
 
 
 def kfold_ntile(df: DataFrame, key: str, k: int = 5, name: str = "fold") -> DataFrame:
     """K contiguous folds over the key order, sizes as SQL ``ntile`` (0-based fold ids)."""
-    ranked = _with_count(global_rank(df, [F.col(key)], name="_r"))
+    ranked = global_rank(df, [F.col(key)], name="_r", total="_n")
     return ranked.withColumn(name, ntile_from_rank(F.col("_r"), F.col("_n"), k) - 1).drop("_r", "_n")
 
 

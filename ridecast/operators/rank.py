@@ -20,8 +20,10 @@ _POS_BITS = 33
 
 
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank0",
-                partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 0-based position of each row in the total order ``order``.
+                partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Add ``name`` = 0-based position of each row in the total order ``order``
+    (and, with ``total``, the row count of the whole frame, from the same
+    per-partition table: no second pass over the data).
 
     ``order`` must be a total order (append a unique key) for the result to be
     deterministic.  The sorted frame is written to the checkpoint folder, which
@@ -32,13 +34,18 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank0",
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     pos = F.col("_mid") - F.shiftleft(pid, _POS_BITS)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition: bounded by the partition count, never by the data
+    whole = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("_n")).alias("_off"))
+         - F.col("_n")).alias("_off"),
+        F.sum("_n").over(whole).alias("_total"))
     out = tagged.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid") \
         .withColumn(name, (F.col("_off") + pos).cast("long"))
-    return out.drop("_pid", "_off", "_mid")
+    if total:
+        out = out.withColumn(total, F.col("_total").cast("long"))
+    return out.drop("_pid", "_off", "_mid", "_total")
 
 
 def ntile_from_rank(rank0: Column, n: Column, k: int) -> Column:
