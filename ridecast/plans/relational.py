@@ -106,10 +106,14 @@ def _spark_weekday_bands(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(bands)
 
 
-def _spark_shifted_daily(spark: SparkSession, d: str) -> DataFrame:
+def _spark_shifted_daily(spark: SparkSession, d: str, materialize: bool = False) -> DataFrame:
+    """Daily mean travel time plus its one-year-shifted slice.  With
+    ``materialize`` the (calendar-bounded) table is written once, for callers
+    that read it more than once (statistics, then rows)."""
     daily = daily_travel_times(load(spark, d, "lineitem")).select(
         "date", F.col("daily_mean").alias("uber_travel_time"))
-    return year_shift_union(daily, ["date"], after=B.SHIFT_AFTER, before=B.SHIFT_BEFORE)
+    out = year_shift_union(daily, ["date"], after=B.SHIFT_AFTER, before=B.SHIFT_BEFORE)
+    return cut_lineage(out) if materialize else out
 
 
 # --------------------------------------------------------------------------
@@ -558,7 +562,7 @@ SELECT date, round(CASE WHEN hi = lo THEN 0.0 ELSE (uber_travel_time - lo) * 1.0
 FROM u, s
 """, covers=("SCL-2", "AG-6"))
 def q_minmax_scale(spark, d):
-    s = minmax_scale(_spark_shifted_daily(spark, d), "uber_travel_time", out="uber_travel_time_scaled",
+    s = minmax_scale(_spark_shifted_daily(spark, d, materialize=True), "uber_travel_time", out="uber_travel_time_scaled",
                      drop_source=True)
     return s.withColumn("uber_travel_time_scaled", r6(F.col("uber_travel_time_scaled")))
 
@@ -572,7 +576,7 @@ FROM dl, s
 def q_standard_scale(spark, d):
     dl = daily_travel_times(load(spark, d, "lineitem")).select(
         "date", "daily_mean", (F.col("daily_upper") - F.col("daily_lower")).alias("range"))
-    s = standard_scale(dl, ["daily_mean", "range"])
+    s = standard_scale(cut_lineage(dl), ["daily_mean", "range"])     # one row per day, read twice
     return s.select("date", r6(F.col("daily_mean")).alias("daily_mean"), r6(F.col("range")).alias("range"))
 
 
