@@ -134,7 +134,8 @@ def poisson_weight(key: str, bag: int, seed: int = 1):
 
 
 def oob_bagging(train: DataFrame, key: str, label: str, bags: int = 10, max_depth: int = 10,
-                min_instances: int = 1, seed: int = 1, features: str = "features") -> DataFrame:
+                min_instances: int = 1, seed: int = 1, features: str = "features",
+                parallelism: int = 4) -> DataFrame:
     """Bagged regression trees with bootstrap weights; returns the training
     rows with ``oob_pred`` = mean prediction of the bags that left the row out
     (null when every bag drew it)."""
@@ -146,11 +147,15 @@ def oob_bagging(train: DataFrame, key: str, label: str, bags: int = 10, max_dept
         data = data.withColumn(f"_w{b}", poisson_weight(key, b, seed))
         wcols.append(f"_w{b}")
     data = data.persist()
-    for b in range(bags):
+
+    def fit_bag(b: int):
         tree = DecisionTreeRegressor(maxDepth=clamp_depth(max_depth), minInstancesPerNode=min_instances,
                                      weightCol=f"_w{b}", labelCol=label, featuresCol=features,
                                      predictionCol=f"_p{b}", seed=seed + b)
-        m = tree.fit(data.where(F.col(f"_w{b}") > 0))
+        return tree.fit(data.where(F.col(f"_w{b}") > 0))
+
+    models = fit_all([lambda b=b: fit_bag(b) for b in range(bags)], parallelism)
+    for b, m in enumerate(models):
         data = m.transform(data)
         pcols.append(f"_p{b}")
     num = sum((F.when(F.col(w) == 0, F.col(p)).otherwise(0.0) for w, p in zip(wcols, pcols)), F.lit(0.0))

@@ -226,28 +226,33 @@ class ExtraTrees:
     seed: int = 1
     label: str = "label"
 
-    def fit(self, df: DataFrame, inputs: list[str]) -> ExtraTreesModel:
+    def fit(self, df: DataFrame, inputs: list[str], parallelism: int = 4) -> ExtraTreesModel:
+        from ridecast.models.ensemble import fit_all
         stats = df.agg(*[F.min(c).alias(f"lo_{c}") for c in inputs],
                        *[F.max(c).alias(f"hi_{c}") for c in inputs]).first()
         rng = random.Random(self.seed)
-        trees, splits = [], []
-        base = df.select(*inputs, self.label)
-        for t in range(self.n_estimators):
+        splits = []
+        for _ in range(self.n_estimators):
             sp = []
             for c in inputs:
                 lo, hi = float(stats[f"lo_{c}"]), float(stats[f"hi_{c}"])
                 pts = sorted({rng.uniform(lo, hi) for _ in range(self.cuts)}) if hi > lo else []
                 sp.append([-math.inf, *pts, math.inf])
-            b_cols = [f"_xb{j}" for j in range(len(inputs))]
-            binned = Bucketizer(splitsArray=sp, inputCols=inputs, outputCols=b_cols, handleInvalid="keep") \
-                .transform(base)
+            splits.append(sp)
+        base = df.select(*inputs, self.label)
+        b_cols = [f"_xb{j}" for j in range(len(inputs))]
+
+        def fit_tree(t: int):
+            binned = Bucketizer(splitsArray=splits[t], inputCols=inputs, outputCols=b_cols,
+                                handleInvalid="keep").transform(base)
             binned = VectorAssembler(inputCols=b_cols, outputCol="_xv").transform(binned)
             tree = RandomForestRegressor(numTrees=1, bootstrap=False, maxDepth=clamp_depth(self.max_depth),
                                          featureSubsetStrategy=feature_subset(self.max_features),
                                          seed=self.seed + t, labelCol=self.label, featuresCol="_xv",
                                          maxBins=max(32, self.cuts + 2))
-            trees.append(tree.fit(binned))
-            splits.append(sp)
+            return tree.fit(binned)
+
+        trees = fit_all([lambda t=t: fit_tree(t) for t in range(self.n_estimators)], parallelism)
         return ExtraTreesModel(trees, splits, list(inputs))
 
 
