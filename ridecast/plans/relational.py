@@ -73,7 +73,7 @@ FROM (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q_start,
 """
 
 # weekday bands after the one-year shift of the second half of 1999
-UBER_BANDS_SQL = f"""
+SHIFTED_BANDS_SQL = f"""
 WITH wb AS ({WEEKDAY_BANDS_SQL}),
 b AS (SELECT dow AS day_of_week, q_start AS date_start, q_end AS date_end,
              mean_travel_day, lower_travel_day, upper_travel_day FROM wb)
@@ -85,10 +85,10 @@ FROM b WHERE date_start > DATE '{B.BAND_SHIFT_AFTER}' AND date_end < DATE '{B.BA
 """
 
 SHIFTED_DAILY_SQL = f"""
-WITH d AS (SELECT date, daily_mean AS uber_travel_time FROM ({DAILY_SQL}))
-SELECT date, uber_travel_time FROM d
+WITH d AS (SELECT date, daily_mean AS city_travel_time FROM ({DAILY_SQL}))
+SELECT date, city_travel_time FROM d
 UNION ALL
-SELECT CAST(date + INTERVAL 1 YEAR AS DATE), uber_travel_time FROM d
+SELECT CAST(date + INTERVAL 1 YEAR AS DATE), city_travel_time FROM d
 WHERE date > DATE '{B.SHIFT_AFTER}' AND date < DATE '{B.SHIFT_BEFORE}'
 """
 
@@ -111,7 +111,7 @@ def _spark_shifted_daily(spark: SparkSession, d: str, materialize: bool = False)
     ``materialize`` the (calendar-bounded) table is written once, for callers
     that read it more than once (statistics, then rows)."""
     daily = daily_travel_times(load(spark, d, "lineitem")).select(
-        "date", F.col("daily_mean").alias("uber_travel_time"))
+        "date", F.col("daily_mean").alias("city_travel_time"))
     out = year_shift_union(daily, ["date"], after=B.SHIFT_AFTER, before=B.SHIFT_BEFORE)
     return cut_lineage(out) if materialize else out
 
@@ -556,15 +556,15 @@ def q_year_shift_union(spark, d):
 
 
 @query("minmax_scale", f"""
-WITH u AS ({SHIFTED_DAILY_SQL}), s AS (SELECT min(uber_travel_time) AS lo, max(uber_travel_time) AS hi FROM u)
-SELECT date, round(CASE WHEN hi = lo THEN 0.0 ELSE (uber_travel_time - lo) * 1.0 / (hi - lo) END, 6)
-         AS uber_travel_time_scaled
+WITH u AS ({SHIFTED_DAILY_SQL}), s AS (SELECT min(city_travel_time) AS lo, max(city_travel_time) AS hi FROM u)
+SELECT date, round(CASE WHEN hi = lo THEN 0.0 ELSE (city_travel_time - lo) * 1.0 / (hi - lo) END, 6)
+         AS city_travel_time_scaled
 FROM u, s
 """, covers=("SCL-2", "AG-6"))
 def q_minmax_scale(spark, d):
-    s = minmax_scale(_spark_shifted_daily(spark, d, materialize=True), "uber_travel_time", out="uber_travel_time_scaled",
+    s = minmax_scale(_spark_shifted_daily(spark, d, materialize=True), "city_travel_time", out="city_travel_time_scaled",
                      drop_source=True)
-    return s.withColumn("uber_travel_time_scaled", r6(F.col("uber_travel_time_scaled")))
+    return s.withColumn("city_travel_time_scaled", r6(F.col("city_travel_time_scaled")))
 
 
 @query("standard_scale", f"""
@@ -640,19 +640,19 @@ def q_hour_band_pick(spark, d):
 @query("left_join_mean_fill", f"""
 WITH r AS (SELECT o_orderkey AS ride_id, CAST(o_orderdate AS DATE) AS travel_date FROM orders),
 u AS ({SHIFTED_DAILY_SQL}),
-j AS (SELECT r.ride_id, r.travel_date, u.uber_travel_time FROM r LEFT JOIN u ON r.travel_date = u.date)
-SELECT ride_id, travel_date, round(COALESCE(uber_travel_time, (SELECT avg(uber_travel_time) FROM j)), 6)
-         AS uber_travel_time
+j AS (SELECT r.ride_id, r.travel_date, u.city_travel_time FROM r LEFT JOIN u ON r.travel_date = u.date)
+SELECT ride_id, travel_date, round(COALESCE(city_travel_time, (SELECT avg(city_travel_time) FROM j)), 6)
+         AS city_travel_time
 FROM j
 """, covers=("JN-4", "NUL-2", "AG-4"))
 def q_left_join_mean_fill(spark, d):
     r = B.rides(spark, d).select("ride_id", F.to_date("travel_date").alias("travel_date"))
     j = left_join_on(r, _spark_shifted_daily(spark, d), "travel_date", "date", bounded=True)   # one row per day
-    f = fill_with_mean(j, "uber_travel_time")
-    return f.select("ride_id", "travel_date", r6(F.col("uber_travel_time")).alias("uber_travel_time"))
+    f = fill_with_mean(j, "city_travel_time")
+    return f.select("ride_id", "travel_date", r6(F.col("city_travel_time")).alias("city_travel_time"))
 
 
-@query("band_year_shift", UBER_BANDS_SQL, covers=("FLT-3", "UN-2", "DT-9", "DT-10"))
+@query("band_year_shift", SHIFTED_BANDS_SQL, covers=("FLT-3", "UN-2", "DT-9", "DT-10"))
 def q_band_year_shift(spark, d):
     """Weekday bands plus the copies whose start is after and end before the
     shift window (two chained filters on two date columns), one year ahead."""
@@ -674,10 +674,10 @@ WITH train AS (SELECT o_orderkey AS ride_id, CAST(o_orderdate AS DATE) AS travel
                       o_orderpriority AS travel_from, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_of_week,
                       CAST(CASE WHEN isodow(o_orderdate) - 1 >= 5 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend
                FROM orders),
-uber AS ({UBER_BANDS_SQL})
-SELECT train.*, uber.mean_travel_day, uber.lower_travel_day, uber.upper_travel_day
-FROM train INNER JOIN uber ON train.day_of_week = uber.day_of_week
- AND train.travel_date BETWEEN uber.date_start AND uber.date_end
+bands AS ({SHIFTED_BANDS_SQL})
+SELECT train.*, bands.mean_travel_day, bands.lower_travel_day, bands.upper_travel_day
+FROM train INNER JOIN bands ON train.day_of_week = bands.day_of_week
+ AND train.travel_date BETWEEN bands.date_start AND bands.date_end
 """
 
 
@@ -692,13 +692,13 @@ def q_sql_band_join(spark, d):
     """The band join as SQL text over registered views.  The band table is
     bounded by the calendar (7 rows per quarter), hence the broadcast hint."""
     _train_rides(spark, d).createOrReplaceTempView("train")
-    uber, small = bounded_broadcast(_spark_weekday_bands(spark, d), materialize=False)
-    uber.createOrReplaceTempView("uber")
-    hint = "/*+ BROADCAST(uber) */" if small else ""
+    bands, small = bounded_broadcast(_spark_weekday_bands(spark, d), materialize=False)
+    bands.createOrReplaceTempView("bands")
+    hint = "/*+ BROADCAST(bands) */" if small else ""
     return spark.sql(f"""
-        SELECT {hint} train.*, uber.mean_travel_day, uber.lower_travel_day, uber.upper_travel_day
-        FROM train INNER JOIN uber ON train.day_of_week = uber.day_of_week
-          AND train.travel_date BETWEEN uber.date_start AND uber.date_end
+        SELECT {hint} train.*, bands.mean_travel_day, bands.lower_travel_day, bands.upper_travel_day
+        FROM train INNER JOIN bands ON train.day_of_week = bands.day_of_week
+          AND train.travel_date BETWEEN bands.date_start AND bands.date_end
     """)
 
 

@@ -49,7 +49,7 @@ def test_daily_files_union_and_shift_golden(spark, tmpdir_fresh):
     six = read_daily_files(spark, [paths[k] for k in order])
     assert six.count() == 542
     assert six.where(F.col("date") == dt.date(2017, 9, 29)).count() == 2      # overlap kept (bag union)
-    u = year_shift_union(six.select("date", F.col("daily_mean").alias("uber_travel_time")), ["date"],
+    u = year_shift_union(six.select("date", F.col("daily_mean").alias("city_travel_time")), ["date"],
                          after="2017-06-29")
     assert u.count() == 542 + 361
     five = read_daily_files(spark, [paths[k] for k in order[:5]])
