@@ -252,3 +252,19 @@ def q_random_search_ev(spark, d):
     train.unpersist()
     ranked = rank_results(res, "mean_explained_variance", larger_is_better=True)
     return ranked.withColumn("mean_explained_variance", _r6(F.col("mean_explained_variance")))
+
+
+@query("ride_forecast", covers=("UDF-6", "EST-1", "ENS-1", "PRJ-13", "MTH-1"))
+def q_ride_forecast(spark, d):
+    """The whole ticket-file flow on the ticket binding: tickets shipped before
+    the scoring date train (counted per ride, dictionaries from the ticket
+    columns), the distinct rides shipped on/after it are forecast by a bagged
+    forest and rounded half-to-even."""
+    from ridecast.plans.pipelines import forecast
+    t = B.tickets(spark, d)
+    cut = F.lit(B.SCORE_FROM).cast("timestamp_ntz")
+    train_tickets = t.where(F.col("travel_date") < cut)
+    to_score = t.where(F.col("travel_date") >= cut).dropDuplicates(["ride_id", "travel_date", "travel_from",
+                                                                   "car_type"])
+    return forecast(train_tickets, to_score, spec=RideSpec(travel_time=None), cutoff=B.TRAIN_CUTOFF,
+                    rare=B.RARE_ORIGINS, bags=2, n_estimators=10, max_depth=6)
