@@ -55,6 +55,22 @@ def feature_subset(max_features) -> str:
     return str(max_features)
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
+def size_partitions(df: DataFrame, rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Partition a training frame by its row count before it is cached: about
+    ``rows_per_partition`` rows per task, and at least one task per core.
+    (AQE does not coalesce inside a cached plan, so a frame coming out of a
+    200-way shuffle would otherwise run every tree-level job as 200 tiny tasks.)"""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    target = max(cores, -(-rows // rows_per_partition))
+    current = df.rdd.getNumPartitions()
+    if current == target:
+        return df
+    return df.coalesce(target) if current > target else df.repartition(target)
+
+
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 

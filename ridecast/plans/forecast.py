@@ -17,7 +17,7 @@ from ridecast.functions.mathx import half_even, threshold_label
 from ridecast.models.ensemble import bag_predict, oob_bagging, stack
 from ridecast.models.estimators import (
     AdaBoostR2, ExtraTrees, assemble, features_as_array, gradient_boosting, gradient_boosting_classifier,
-    importance_table, linear_regression, random_forest, ridge,
+    importance_table, linear_regression, random_forest, ridge, size_partitions,
 )
 from ridecast.models.search import build_grid, cross_validate, rank_results, sample_grid
 from ridecast.operators.folds import holdout_split, kfold_ntile
@@ -38,8 +38,9 @@ def prepared(spark: SparkSession, d: str, folds: int | None = None):
     """(train, score): assembled features; train carries ``label`` (and
     ``fold`` with ``folds``) and is persisted, being read by every fit."""
     rf = ride_model_pipeline()
-    rides = B.train_rides(spark, d).persist()          # read by the dictionary fit and the feature pass
-    rf.fit(rides)
+    cached = B.train_rides(spark, d).persist()         # read by the dictionary fit and the feature pass
+    rf.fit(cached)
+    rides = size_partitions(cached, cached.count())
     train = rf.transform(rides, train=True)
     score = rf.transform(B.score_rides(spark, d))
     train = assemble(train, FEATURES).withColumn("label", F.col(LABEL).cast("double"))
@@ -47,7 +48,7 @@ def prepared(spark: SparkSession, d: str, folds: int | None = None):
         train = kfold_ntile(train, "ride_id", k=folds)
     train = train.persist()
     train.count()                                        # fill the cache, then drop the ride cache
-    rides.unpersist()
+    cached.unpersist()
     return train, assemble(score, FEATURES)
 
 

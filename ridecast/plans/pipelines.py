@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ridecast.functions.mathx import half_even
 from ridecast.models.ensemble import bag_predict
-from ridecast.models.estimators import assemble, random_forest
+from ridecast.models.estimators import assemble, random_forest, size_partitions
 from ridecast.operators.aggregate import fill_with_mean
 from ridecast.operators.enrich import left_join_on, year_shift_union
 from ridecast.operators.scale import minmax_scale
@@ -40,7 +40,12 @@ def forecast(tickets: DataFrame, rides_to_score: DataFrame, spec: RideSpec | Non
     train = rf.transform(rf.count_tickets(tickets), train=True)
     score = rf.transform(rides_to_score)
     feats = [c for c in train.columns if c not in (label, spec.ride_id)]
-    train = assemble(train, feats).withColumn("label", F.col(label).cast("double")).persist()
+    cached = assemble(train, feats).withColumn("label", F.col(label).cast("double")).persist()
+    train = size_partitions(cached, cached.count())
+    if train is not cached:                               # re-cache at the sized partitioning
+        train = train.persist()
+        train.count()
+        cached.unpersist()
     score = assemble(score.select(spec.ride_id, *feats), feats)
     est = lambda s: random_forest(n_estimators=n_estimators, max_depth=max_depth,
                                   min_samples_leaf=min_samples_leaf,
