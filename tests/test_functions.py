@@ -56,3 +56,17 @@ def test_clock_and_bands(spark):
 def test_weekday_from_name(spark):
     df = spark.createDataFrame([("Monday",), ("Sunday",), ("Funday",)], "n string")
     assert [r[0] for r in df.select(weekday_from_name("n")).collect()] == [0, 6, None]
+
+
+def test_parse_date_matches_strptime_randomized(spark):
+    """Random dates 1969..2068 written in both formats parse back exactly as
+    Python's strptime reads them (two-digit years pivot at 69)."""
+    import random
+    rng = random.Random(7)
+    days = [dt.date(1969, 1, 1) + dt.timedelta(days=rng.randrange(0, 36500)) for _ in range(400)]
+    texts = [d.strftime("%-d-%-m-%y") if i % 2 else d.strftime("%Y-%-m-%-d") for i, d in enumerate(days)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = {r.i: r.d for r in df.select("i", parse_date("s").alias("d")).collect()}
+    for i, t in enumerate(texts):
+        fmt = "%d-%m-%y" if i % 2 else "%Y-%m-%d"
+        assert got[i] == dt.datetime.strptime(t, fmt).date(), t
