@@ -78,3 +78,27 @@ def enrich_rides(rides: DataFrame, per_date: DataFrame, ride_date: str = "travel
     for c in fill or []:
         j = fill_with_mean(j, c)
     return j
+
+
+def onehot_features(rides: DataFrame, date_col: str = "travel_date", time_col: str | None = "travel_time",
+                    origin_col: str = "travel_from", car_col: str = "car_type", rare: tuple = (),
+                    bus_value: str = "Bus", origins: list | None = None, other: str = "other") -> DataFrame:
+    """The one-hot variant of the ride features: day of month replaces the
+    date, the clock gives the hour, rare origins merge into ``other`` (every
+    string column), the car type becomes a 0/1 ``car_type_is_bus`` flag and the
+    origin becomes one 0/1 column per value (``origins`` fixes the columns, so
+    a scoring set can be built with exactly the training columns)."""
+    from pyspark.sql.types import StringType
+
+    from ridecast.functions.calendar import parse_date
+    from ridecast.functions.clock import clock_hour
+    from ridecast.operators.encode import one_hot, rare_to_other
+    dt = rides.schema[date_col].dataType
+    d = parse_date(date_col) if isinstance(dt, StringType) else F.to_date(date_col)
+    out = rides.withColumn("day", F.dayofmonth(d).cast("int")).drop(date_col)
+    if time_col:
+        out = out.withColumn("hour", clock_hour(time_col)).drop(time_col)
+    if rare:
+        out = rare_to_other(out, list(rare), other)
+    out = out.withColumn("car_type_is_bus", (F.col(car_col) == bus_value).cast("int")).drop(car_col)
+    return one_hot(out, origin_col, values=origins)

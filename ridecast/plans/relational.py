@@ -861,3 +861,31 @@ def q_confusion_counts(spark, d):
     from ridecast.operators.metrics import confusion_counts
     f = _class_frame(spark, d)
     return confusion_counts(f, "y", "p").select(F.col("actual").cast("int"), F.col("predicted").cast("int"), "n")
+
+
+@query("onehot_pipeline", """
+WITH c AS (
+  SELECT l_orderkey AS ride_id, l_shipdate AS travel_date, l_returnflag AS travel_from, l_linestatus AS car_type,
+         CAST(l_linenumber AS INTEGER) AS max_capacity, count(*) AS counts
+  FROM lineitem
+  WHERE l_orderkey IS NOT NULL AND l_shipdate IS NOT NULL AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL
+    AND l_linenumber IS NOT NULL
+  GROUP BY l_orderkey, l_shipdate, l_returnflag, l_linestatus, l_linenumber
+  HAVING count(*) < 15),
+m AS (SELECT ride_id, max_capacity, counts, CAST(day(travel_date) AS INTEGER) AS day,
+             CASE WHEN travel_from IN ('R') THEN 'other' ELSE travel_from END AS tf,
+             CASE WHEN car_type IN ('R') THEN 'other' ELSE car_type END AS car_type FROM c)
+SELECT ride_id, max_capacity, counts, day, CAST(CASE WHEN car_type = 'F' THEN 1 ELSE 0 END AS INTEGER) AS car_type_is_bus,
+       CAST(CASE WHEN tf = 'A' THEN 1 ELSE 0 END AS INTEGER) AS travel_from_A,
+       CAST(CASE WHEN tf = 'N' THEN 1 ELSE 0 END AS INTEGER) AS travel_from_N,
+       CAST(CASE WHEN tf = 'other' THEN 1 ELSE 0 END AS INTEGER) AS travel_from_other
+FROM m
+""", covers=("UDF-5", "AG-2", "FLT-4", "DT-7", "STR-3", "ENC-3", "PRJ-6"))
+def q_onehot_pipeline(spark, d):
+    """Counts per ride with capacity as a key, rides under 15 tickets, then
+    the one-hot feature table (day of month, merged origins, bus flag, one
+    column per origin)."""
+    from ridecast.plans.pipelines import onehot_features
+    c = ride_counts(B.tickets(spark, d, with_capacity=True),
+                    ["ride_id", "travel_date", "travel_from", "car_type", "max_capacity"], name="counts")
+    return onehot_features(counts_below(c, "counts", 15), time_col=None, rare=B.RARE_ORIGINS, bus_value="F")

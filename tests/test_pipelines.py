@@ -55,3 +55,18 @@ def test_daily_travel_times_and_enrich(spark, tmpdir_fresh):
     rides = spark.createDataFrame([(1, dt.date(2017, 6, 29)), (2, dt.date(2016, 1, 1))], "ride_id long, travel_date date")
     e = {r.ride_id: r.city_travel_time_scaled for r in enrich_rides(rides, tt, fill=["city_travel_time_scaled"]).collect()}
     assert e[2] == e[1]                                                    # unmatched ride gets the mean of matched ones
+
+
+def test_onehot_features_train_and_aligned_test(spark):
+    from ridecast.operators.encode import align_columns
+    from ridecast.plans.pipelines import onehot_features
+    train = spark.createDataFrame([(1, "17-10-17", "7:15", "Northgate", "Bus", 3), (2, "2017-11-19", "8:05", "Tinytown", "shuttle", 2)],
+                                  "ride_id long, travel_date string, travel_time string, travel_from string, "
+                                  "car_type string, counts long")
+    tr = onehot_features(train, rare=("Tinytown",))
+    assert tr.columns == ["ride_id", "counts", "day", "hour", "car_type_is_bus", "travel_from_Northgate",
+                          "travel_from_other"]
+    test = spark.createDataFrame([(7, "1-2-18", "23:59", "Hilltop", "Bus")],
+                                 "ride_id long, travel_date string, travel_time string, travel_from string, car_type string")
+    te = align_columns(onehot_features(test, rare=("Tinytown",)), [c for c in tr.columns if c != "counts"])
+    assert [tuple(r) for r in te.collect()] == [(7, 1, 23, 1, 0, 0)]
