@@ -56,15 +56,19 @@ def feature_subset(max_features) -> str:
 
 
 ROWS_PER_PARTITION = 1_000_000
+MIN_TRAIN_PARTITIONS = 4
 
 
-def size_partitions(df: DataFrame, rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+def size_partitions(df: DataFrame, rows: int, rows_per_partition: int = ROWS_PER_PARTITION,
+                    min_partitions: int = MIN_TRAIN_PARTITIONS) -> DataFrame:
     """Partition a training frame by its row count before it is cached: about
-    ``rows_per_partition`` rows per task, and at least one task per core.
-    (AQE does not coalesce inside a cached plan, so a frame coming out of a
-    200-way shuffle would otherwise run every tree-level job as 200 tiny tasks.)"""
+    ``rows_per_partition`` rows per task, and a few tasks at least (measured
+    locally: 2-4 partitions fit a small frame fastest, and leave cores free for
+    the concurrent fits of bagging, folds and search).  AQE does not coalesce
+    inside a cached plan, so a frame coming out of a 200-way shuffle would
+    otherwise run every tree-level job as 200 tiny tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    target = max(cores, -(-rows // rows_per_partition))
+    target = max(-(-rows // rows_per_partition), min(min_partitions, cores), 1)
     current = df.rdd.getNumPartitions()
     if current == target:
         return df

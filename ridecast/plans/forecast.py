@@ -40,13 +40,13 @@ def prepared(spark: SparkSession, d: str, folds: int | None = None):
     rf = ride_model_pipeline()
     cached = B.train_rides(spark, d).persist()         # read by the dictionary fit and the feature pass
     rf.fit(cached)
-    rides = size_partitions(cached, cached.count())
-    train = rf.transform(rides, train=True)
+    rows = cached.count()
+    train = rf.transform(cached, train=True)
     score = rf.transform(B.score_rides(spark, d))
     train = assemble(train, FEATURES).withColumn("label", F.col(LABEL).cast("double"))
     if folds:
         train = kfold_ntile(train, "ride_id", k=folds)
-    train = train.persist()
+    train = size_partitions(train, rows).persist()      # last step before caching: folds re-read a table
     train.count()                                        # fill the cache, then drop the ride cache
     cached.unpersist()
     return train, assemble(score, FEATURES)
