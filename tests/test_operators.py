@@ -205,3 +205,35 @@ def test_left_join_dedupe(spark):
     assert fan.count() == 3                                   # bag semantics: the repeated date fans out
     one = {r.id: r.t for r in left_join_on(rides, ref, "travel_date", "date", dedupe=True).collect()}
     assert one == {1: 15.0, 2: 5.0}
+
+
+def test_band_join_hot_date_under_skew_split(spark):
+    """One date holds a third of all rides; with the shuffle fallback and AQE's
+    skew-join thresholds lowered, the split plan stays exact."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 3000
+        rides = spark.range(0, n).select(
+            F.col("id").alias("id"),
+            F.when(F.col("id") % 3 == 0, F.lit(D(2017, 1, 4)))
+             .otherwise(F.date_add(F.lit(D(2017, 1, 1)), (F.col("id") % 50).cast("int"))).alias("d"))
+        rides = rides.withColumn("dow", F.weekday("d"))
+        bands = spark.createDataFrame([(w, D(2017, 1, 1), D(2017, 3, 1), w * 10) for w in range(7)],
+                                      "day_of_week int, date_start date, date_end date, m int")
+        got = band_join(rides, bands, "d", "dow", take=["m"], max_rows=0).groupBy().agg(
+            F.count(F.lit(1)).alias("n"), F.sum("m").alias("s")).first()
+        exp = rides.select((F.col("dow") * 10).alias("m")).groupBy().agg(
+            F.count(F.lit(1)).alias("n"), F.sum("m").alias("s")).first()
+        assert (got.n, got.s) == (exp.n, exp.s) == (n, exp.s)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
