@@ -28,25 +28,27 @@ def forecast(tickets: DataFrame, rides_to_score: DataFrame, spec: RideSpec | Non
              cutoff: str | None = None, rare: tuple = (), drop_columns: tuple = ("travel_to", "max_capacity"),
              bags: int = 5, seed: int = 1, n_estimators: int = 100, max_depth: int = 10,
              min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0005, rounded: bool = True,
-             label: str = "number_of_tickets", out: str = "number_of_ticket") -> DataFrame:
+             label: str = "number_of_tickets", out: str = "number_of_ticket",
+             key_as_feature: bool = False) -> DataFrame:
     """Forecast tickets per ride for ``rides_to_score``.
 
     The dictionaries are fitted on the ticket columns, the forest is refitted
     with ``seed + n`` for ``n`` in ``range(bags)`` and the predictions averaged,
-    then rounded half-to-even.  The ride key is kept as key, never a feature."""
+    then rounded half-to-even.  The ride key is kept as key; with
+    ``key_as_feature`` it is also a feature (as some of the source's runs do)."""
     spec = spec or RideSpec()
     rf = RideFeatures(spec=spec, label=label, cutoff=cutoff, rare=rare, drop_columns=tuple(drop_columns))
     rf.fit_tickets(tickets)
     train = rf.transform(rf.count_tickets(tickets), train=True)
     score = rf.transform(rides_to_score)
-    feats = [c for c in train.columns if c not in (label, spec.ride_id)]
+    feats = [c for c in train.columns if c != label and (key_as_feature or c != spec.ride_id)]
     cached = assemble(train, feats).withColumn("label", F.col(label).cast("double")).persist()
     train = size_partitions(cached, cached.count())
     if train is not cached:                               # re-cache at the sized partitioning
         train = train.persist()
         train.count()
         cached.unpersist()
-    score = assemble(score.select(spec.ride_id, *feats), feats)
+    score = assemble(score.select(*dict.fromkeys([spec.ride_id, *feats])), feats)
     est = lambda s: random_forest(n_estimators=n_estimators, max_depth=max_depth,
                                   min_samples_leaf=min_samples_leaf,
                                   min_impurity_decrease=min_impurity_decrease, seed=s)
@@ -56,6 +58,14 @@ def forecast(tickets: DataFrame, rides_to_score: DataFrame, spec: RideSpec | Non
     return pred.select(spec.ride_id, value.alias(out))
 
 
+def write_forecast(pred: DataFrame, path: str, single_file: bool = False) -> str:
+    """The forecast as a header CSV ``ride_id,number_of_ticket`` (no index
+    column).  ``single_file`` gathers it into one file, for a small scoring set
+    only; large outputs keep one file per partition."""
+    from ridecast.sources.csv_io import write_csv
+    return write_csv(pred, path, single_file=single_file)
+
+
 def daily_travel_times(spark: SparkSession, paths: list[str], after: str | None = None,
                        before: str | None = None, name: str = "city_travel_time",
                        scaled: bool = True) -> DataFrame:

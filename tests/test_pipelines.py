@@ -70,3 +70,13 @@ def test_onehot_features_train_and_aligned_test(spark):
                                  "ride_id long, travel_date string, travel_time string, travel_from string, car_type string")
     te = align_columns(onehot_features(test, rare=("Tinytown",)), [c for c in tr.columns if c != "counts"])
     assert [tuple(r) for r in te.collect()] == [(7, 1, 23, 1, 0, 0)]
+
+
+def test_forecast_key_as_feature_and_write(spark, tmpdir_fresh):
+    from ridecast.plans.pipelines import write_forecast
+    from ridecast.sources.csv_io import read_csv
+    t, s = _tickets(spark), _rides_to_score(spark)
+    p = forecast(t, s, cutoff="2017-04-01", bags=1, n_estimators=3, max_depth=3, key_as_feature=True)
+    path = write_forecast(p, f"{tmpdir_fresh}/sub", single_file=True)
+    back = read_csv(spark, path, schema="ride_id long, number_of_ticket double")
+    assert back.columns == ["ride_id", "number_of_ticket"] and back.count() == 3
