@@ -67,9 +67,12 @@ def size_partitions(df: DataFrame, rows: int, rows_per_partition: int = ROWS_PER
     the concurrent fits of bagging, folds and search).  AQE does not coalesce
     inside a cached plan, so a frame coming out of a 200-way shuffle would
     otherwise run every tree-level job as 200 tiny tasks."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no local SparkContext: leave the partitioning to the session)
+        return df
     target = max(-(-rows // rows_per_partition), min(min_partitions, cores), 1)
-    current = df.rdd.getNumPartitions()
     if current == target:
         return df
     return df.coalesce(target) if current > target else df.repartition(target)

@@ -40,13 +40,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster's setting always wins.  Only when the session has none (local
     tests, the smoke driver) a private folder is created and registered."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (a session without a local SparkContext)
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and sc is not None:
+        conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
         conf = tempfile.mkdtemp(prefix="ridecast-ckpt-")
+    if sc is None:
+        return conf
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
