@@ -889,3 +889,30 @@ def q_onehot_pipeline(spark, d):
     c = ride_counts(B.tickets(spark, d, with_capacity=True),
                     ["ride_id", "travel_date", "travel_from", "car_type", "max_capacity"], name="counts")
     return onehot_features(counts_below(c, "counts", 15), time_col=None, rare=B.RARE_ORIGINS, bus_value="F")
+
+
+@query("band_features", f"""
+WITH j AS ({_BAND_JOIN_SQL}),
+tf AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+       FROM (SELECT DISTINCT travel_from AS v FROM j WHERE travel_from IS NOT NULL)),
+x AS (SELECT j.ride_id, j.day_of_week, j.is_weekend, CAST(COALESCE(tf.code, -1) AS INTEGER) AS travel_from,
+             j.mean_travel_day, j.upper_travel_day - j.lower_travel_day AS range
+      FROM j LEFT JOIN tf ON j.travel_from = tf.v),
+s AS (SELECT avg(mean_travel_day) AS m1, stddev_pop(mean_travel_day) AS s1, avg(range) AS m2,
+             stddev_pop(range) AS s2 FROM x)
+SELECT ride_id, day_of_week, is_weekend, travel_from, round((mean_travel_day - m1) / s1, 6) AS mean_travel_day,
+       round((range - m2) / s2, 6) AS range
+FROM x, s
+""", covers=("JN-1", "ENC-1", "ENC-2", "PRJ-5", "SCL-1", "AG-7"))
+def q_band_features(spark, d):
+    """The SQL-enrichment flow end to end: rides band-joined to the weekday
+    travel-time bands, origin coded (dictionary fitted on the joined rides),
+    range = upper - lower, then mean and range standardized with the
+    population std over the joined rides."""
+    j = band_join(_train_rides(spark, d), _spark_weekday_bands(spark, d), "travel_date", "day_of_week",
+                  take=["mean_travel_day", "lower_travel_day", "upper_travel_day"])
+    j = CategoryCodes(["travel_from"]).fit_transform(j)
+    j = j.withColumn("range", F.col("upper_travel_day") - F.col("lower_travel_day"))
+    s = standard_scale(j, ["mean_travel_day", "range"])
+    return s.select("ride_id", "day_of_week", "is_weekend", "travel_from",
+                    r6(F.col("mean_travel_day")).alias("mean_travel_day"), r6(F.col("range")).alias("range"))
