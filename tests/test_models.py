@@ -146,3 +146,12 @@ def test_explained_variance_search(spark, data):
                          metric="explained_variance")
     best = rank_results(res, "mean_explained_variance", larger_is_better=True).orderBy("rank").first()
     assert "maxDepth=5" in best.params
+
+
+def test_size_partitions_rule(spark):
+    from ridecast.models.estimators import size_partitions
+    wide = spark.range(0, 1000).repartition(50)
+    assert size_partitions(wide, 1000).rdd.getNumPartitions() == 4                 # a few tasks at least
+    narrow = spark.range(0, 1000).coalesce(1)
+    assert size_partitions(narrow, 1000).rdd.getNumPartitions() == 4
+    assert size_partitions(narrow, 1000, rows_per_partition=100, min_partitions=1).rdd.getNumPartitions() == 10
