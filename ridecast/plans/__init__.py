@@ -1 +1 @@
-"""Composed pipelines and the query catalogue."""
+"""Composed flows and the query catalogue."""

@@ -261,7 +261,7 @@ def q_ride_forecast(spark, d):
     the scoring date train (counted per ride, dictionaries from the ticket
     columns), the distinct rides shipped on/after it are forecast by a bagged
     forest and rounded half-to-even."""
-    from ridecast.plans.pipelines import forecast
+    from ridecast.plans.flows import forecast
     t = B.tickets(spark, d)
     cut = F.lit(B.SCORE_FROM).cast("timestamp_ntz")
     train_tickets = t.where(F.col("travel_date") < cut)

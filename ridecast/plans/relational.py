@@ -863,7 +863,7 @@ def q_confusion_counts(spark, d):
     return confusion_counts(f, "y", "p").select(F.col("actual").cast("int"), F.col("predicted").cast("int"), "n")
 
 
-@query("onehot_pipeline", """
+@query("onehot_features", """
 WITH c AS (
   SELECT l_orderkey AS ride_id, l_shipdate AS travel_date, l_returnflag AS travel_from, l_linestatus AS car_type,
          CAST(l_linenumber AS INTEGER) AS max_capacity, count(*) AS counts
@@ -881,11 +881,11 @@ SELECT ride_id, max_capacity, counts, day, CAST(CASE WHEN car_type = 'F' THEN 1
        CAST(CASE WHEN tf = 'other' THEN 1 ELSE 0 END AS INTEGER) AS travel_from_other
 FROM m
 """, covers=("UDF-5", "AG-2", "FLT-4", "DT-7", "STR-3", "ENC-3", "PRJ-6"))
-def q_onehot_pipeline(spark, d):
+def q_onehot_features(spark, d):
     """Counts per ride with capacity as a key, rides under 15 tickets, then
     the one-hot feature table (day of month, merged origins, bus flag, one
     column per origin)."""
-    from ridecast.plans.pipelines import onehot_features
+    from ridecast.plans.flows import onehot_features
     c = ride_counts(B.tickets(spark, d, with_capacity=True),
                     ["ride_id", "travel_date", "travel_from", "car_type", "max_capacity"], name="counts")
     return onehot_features(counts_below(c, "counts", 15), time_col=None, rare=B.RARE_ORIGINS, bus_value="F")

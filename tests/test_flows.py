@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ridecast.plans.pipelines import daily_travel_times, enrich_rides, forecast
+from ridecast.plans.flows import daily_travel_times, enrich_rides, forecast
 from ridecast.plans.rides import RideSpec
 from ridecast.sources.travel import MEASURE_COLUMNS, daily_file_frame
 
@@ -59,7 +59,7 @@ def test_daily_travel_times_and_enrich(spark, tmpdir_fresh):
 
 def test_onehot_features_train_and_aligned_test(spark):
     from ridecast.operators.encode import align_columns
-    from ridecast.plans.pipelines import onehot_features
+    from ridecast.plans.flows import onehot_features
     train = spark.createDataFrame([(1, "17-10-17", "7:15", "Northgate", "Bus", 3), (2, "2017-11-19", "8:05", "Tinytown", "shuttle", 2)],
                                   "ride_id long, travel_date string, travel_time string, travel_from string, "
                                   "car_type string, counts long")
@@ -73,7 +73,7 @@ def test_onehot_features_train_and_aligned_test(spark):
 
 
 def test_forecast_key_as_feature_and_write(spark, tmpdir_fresh):
-    from ridecast.plans.pipelines import write_forecast
+    from ridecast.plans.flows import write_forecast
     from ridecast.sources.csv_io import read_csv
     t, s = _tickets(spark), _rides_to_score(spark)
     p = forecast(t, s, cutoff="2017-04-01", bags=1, n_estimators=3, max_depth=3, key_as_feature=True)
