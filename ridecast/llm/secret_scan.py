@@ -20,18 +20,17 @@ from pyspark.sql import functions as F
 from ridecast.llm.common import fields
 from ridecast.session import cut_lineage
 
-#: A candidate with the name, separator and words before it, and the word after it.
-CANDIDATE = ("(?:(\\S++)[ \\t]++)?(?:([A-Za-z_][A-Za-z0-9_.\\-]{1,63})[ \\t]?[=:][ \\t]?[\"']?)?"
-             "(?<![A-Za-z0-9+/_=@.\\-])((?=[A-Za-z+/_@.\\-]{0,512}[0-9])[A-Za-z0-9+/_@.\\-]{12,512})"
-             "[\"']?(?:[ \\t]++(\\S++))?")
+#: A candidate with the word, the name and the separator before it, and the word after it (looked at, not taken).
+CANDIDATE = ("(?<!\\S)(?:(\\S++)[ \\t]++)??(?:([A-Za-z_][A-Za-z0-9_.\\-]{1,63})[ \\t]?[=:][ \\t]?)?[\"'(\\[{<]*"
+             "((?=[A-Za-z+/_@.\\-]*+[0-9])[A-Za-z0-9+/_@.\\-]{12,}+)(?=[\"')\\]}>,;]*+[ \\t]*+(\\S*+))")
 CLASSES = ("lower", "upper", "digit", "other")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, source, seq, before, name, candidate, after): every candidate of every text, numbered in its text.
 
-    A candidate is 12 to 512 characters out of letters, digits and ``+/_@.-`` with a digit among them, not right after such a
-    character (or ``=``, unless a name stands before it).  Null and empty texts have none."""
+    A candidate is a run of at least 12 letters, digits and ``+/_@.-`` with a digit among them, at the start of a word or
+    after opening quotes and brackets or after a name with ``=`` or ``:``.  Null and empty texts have none."""
     whole = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     part = lambda i: F.regexp_extract("x", CANDIDATE, i)                                 # noqa: E731
     return (fields(docs, "doc_id", "source", "text").where("text is not null")
@@ -130,7 +129,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, share: float = 2.0
 
     labelled: (doc_id, seq, label) of reviewed findings; without it, findings label themselves by their format where it
     is plain.  Training takes labelled findings of documents whose crc32(doc_id as text) mod 4 is not 2."""
-    rows = cut_lineage(features(candidates(docs), dictionary(docs, share)))
+    rows = cut_lineage(features(cut_lineage(candidates(docs)), dictionary(docs, share)))
     rows = label_findings(rows) if labelled is None else rows.join(fields(labelled, "doc_id", "seq", "label"),
                                                                    ["doc_id", "seq"], "left")
     away = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
