@@ -72,7 +72,9 @@ def exact_groups(docs: DataFrame, capacity: int = 16384) -> DataFrame:
     chained = (fields(docs, "doc_id", "text").select("doc_id", normal_form(F.col("text")).alias("norm"))
                .withColumn("key", F.xxhash64("norm")).join(chains, "key", "left_semi"))
     chained = cut_lineage(chained)
-    groups = chained.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = cut_lineage(chained.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"),
+                                                            F.count("*").alias("group_size")))
+    # read back, so that the join's own exchanges can split a large group's rows
     same = (chained.alias("c").join(groups.alias("g"), ["key", "norm"])
             .select("doc_id", "keep_id", "group_size", F.sha2("norm", 256).alias("sha")))
     alone = (index.join(chains, "key", "left_anti")
