@@ -1,0 +1,260 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from ridecast.llm import (brown_lm, chat_format, decontaminate, exact_dedup, jaccard_join, lang_id, line_dedup, packing,
+                          secret_scan, substring_dedup)
+from ridecast.llm.queries import tokenizer_path
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def corpus():
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdeou") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))                         # noqa: E731
+    passage, base = say(70), say(120).split()
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "ONE  two"), (6, "one\ttwo"), (7, say(3000))]
+    for i in range(8, 30):
+        near = list(base)
+        near[rng.randrange(120)] = "x" + str(i)
+        rows.append((i, " ".join(near)))
+    rows += [(i, say(30) + " " + passage + " " + say(rng.randint(0, 40))) for i in range(30, 45)]
+    rows += [(i, rows[35][1]) for i in range(45, 50)] + [(i, say(rng.randint(1, 90))) for i in range(50, 70)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, key long")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+
+
+def test_exact_dedup(docs, rows, empty):
+    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
+    for capacity in (3, 16384):
+        got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs, capacity).collect()}
+        assert len(got) == len(rows)
+        for i, t in norm.items():
+            same = [j for j in norm if norm[j] == t]
+            assert (got[i]["keep_id"], got[i]["group_size"]) == (min(same), len(same))
+            assert got[i]["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    assert exact_dedup.exact_groups(empty).count() == 0
+    assert exact_dedup.drop_copies(docs).columns == docs.columns
+
+
+def test_jaccard_join(docs, rows, empty):
+    def shingles(t):
+        w = WORDS.findall((t or "").lower())
+        return frozenset(tuple(w[j:j + 4]) for j in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    got = {r["doc_id"]: r for r in jaccard_join.near_groups(docs, 4, 85).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == root
+    assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert jaccard_join.near_groups(empty).count() == 0
+
+
+def test_substring_dedup(docs, rows, empty):
+    words = {i: WORDS.findall(t or "") for i, t in rows}
+    first = {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][p:p + 50]), i)
+    got = {r["doc_id"]: r for r in substring_dedup.cut_repeats(docs).collect()}
+    for i, w in words.items():
+        gone = set()
+        for p in range(len(w) - 49):
+            if first[tuple(w[p:p + 50])] < i:
+                gone |= set(range(p, p + 50))
+        assert got[i]["kept_text"] == " ".join(x for k, x in enumerate(w) if k not in gone)
+        assert sum(s["end"] - s["first"] for s in got[i]["spans"]) == len(gone)
+    assert any(r["spans"] for r in got.values())
+    assert substring_dedup.cut_repeats(empty).count() == 0
+
+
+def test_decontaminate(spark, docs, rows, empty):
+    items = spark.createDataFrame([(1, " ".join((rows[32][1]).split()[35:60])), (10, "One, two!"), (2, None), (3, "")],
+                                  "item_id long, text string")
+    alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    bench = {r["item_id"]: alnum.findall((r["text"] or "").lower()) for r in items.collect()}
+    windows = {(k, tuple(w[p:p + 10])) for k, w in bench.items() if w for p in range(max(1, len(w) - 9))}
+    for block in (1 << 23, 20):
+        got = {r["doc_id"]: r for r in decontaminate.find_leaks(docs, items, block_bytes=block)
+               .withColumn("n", decontaminate.n_hit(F.col("spans"))).collect()}
+        for i, t in rows:
+            w, hit, ids = alnum.findall((t or "").lower()), set(), set()
+            for k, x in windows:
+                for p in range(len(w) - len(x) + 1):
+                    if tuple(w[p:p + len(x)]) == x:
+                        hit |= set(range(p, p + len(x)))
+                        ids.add(k)
+            assert (got[i]["n_words"], got[i]["n"], list(got[i]["items"])) == (len(w), len(hit), sorted(ids, key=str))
+    kept = {r["doc_id"]: r["text"] for r in decontaminate.remove_leaks(docs, items).collect()}
+    assert 4 not in kept and kept[1] is None and kept[7] == dict(rows)[7]
+    assert " ".join(rows[32][1].split()[35:60]) not in kept[rows[32][0]]
+    assert decontaminate.find_leaks(empty, items).count() == 0
+
+
+def test_packing(docs, rows, empty):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
+    pieces = packing.token_pieces(docs, tokenizer_path(), 256, with_ids=True)
+    packed = packing.pack(pieces, packing.Capacities(tokens=256, documents=20, attention=256 ** 2), group_size=40)
+    got = packed.collect()
+    for i, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        own = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert b"".join(bytes(r["ids"]) for r in own) == b"".join(x.to_bytes(4, "little") for x in ids)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 256 and len(b) <= 20
+    assert len(bins) <= 1.1 * sum(r["length"] for r in got) / 256 + 2
+    assert packing.sequences(packed).count() == len(bins)
+    assert packing.pack(packing.token_pieces(empty, tokenizer_path())).count() == 0
+
+
+def test_brown_lm(docs, rows, empty):
+    train = docs.where("doc_id % 3 > 0")
+    model = brown_lm.fit(train, classes=8, exchanges=4, unit_share=0.002, known_share=0.004)
+    count = Counter(w for i, t in rows if i % 3 for w in [*WORDS.findall((t or "").lower()), None])
+    n = sum(count.values())
+    got = {r["doc_id"]: r for r in brown_lm.score(docs, model).collect()}
+    assert (model.tokens, model.types) == (n, len(count))
+    from math import log10
+    for i, t in rows:
+        w = [*WORDS.findall((t or "").lower()), None]
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(w), sum(x in count for x in w))
+        assert got[i]["base_score"] == pytest.approx(sum(log10((count[x] + 1) / (n + len(count) + 1)) for x in w))
+        assert got[i]["score"] < 0
+    assert model.trail[-1] >= model.trail[0]
+    assert (10 ** model.step).sum(axis=1) == pytest.approx(1)
+    assert brown_lm.score(docs, brown_lm.fit(empty, classes=4, exchanges=1)).count() == len(rows)
+    assert brown_lm.score(empty, model).count() == 0
+
+
+def test_language(spark, empty):
+    rng = random.Random(3)
+    words = {"aa": ["the", "and", "with", "house"], "bb": ["und", "der", "straße", "für"], "cc": ["être", "une", "les", "où"]}
+    data = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.randint(3, 40))), g) for i, g in enumerate(list(words) * 40)]
+    data += [(900, None, "aa"), (901, "", None), (902, "123 !?", "bb"), (903, "the and", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    filters = lang_id.fit(docs.where("doc_id % 4 > 0"), slots=1 << 14)
+    got = {r["doc_id"]: r for r in lang_id.predict(docs, filters).collect()}
+    assert all(got[i]["lang_pred"] == g for i, t, g in data if i < 900)
+    assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und"] * 3 + ["aa"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in lang_id.predict(docs, lang_id.fit(empty)).collect()} == {"und"}
+
+
+def test_lines(spark, empty):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdeou") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
+    long = [rng.choice(vocab) for _ in range(200)]
+    edited = [[*long[:k], "zzz", *long[k + 1:]] for k in (5, 80, 199)]
+    texts = ["\n".join([" ".join(rng.choice(vocab) for _ in range(9)), " ".join(x)]) for x in (long, *edited)]
+    texts += ["Call 555 now, please!\nshort", "call 123 NOW please", None, "", "call 9 now please\ncall 123 now please"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["line"]): r for r in line_dedup.line_groups(docs).collect()}
+    sims = {(r["doc_id"], r["line"]): r["sim"] for r in line_dedup.split_lines(docs, 3).collect()}
+    norm = {k: [w for w in re.split(r"[\W_]+", re.sub("[0-9]", "0", texts[k[0]].split("\n")[k[1]].lower())) if w] for k in sims}
+    root = {k: k for k in sims}
+    for _ in sims:
+        for a in sims:
+            for b in sims:
+                near = bin((sims[a] ^ sims[b]) & (1 << 64) - 1).count("1") <= 3 and _edits(norm[a], norm[b]) <= 0.2 * max(
+                    len(norm[a]), len(norm[b]))
+                if norm[a] == norm[b] or near:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {k for k, r in got.items() if r["keep"]} == set(root.values())
+    assert line_dedup.drop_lines(docs).where("doc_id = 4").first()["text"] == texts[4]
+    assert line_dedup.line_report(empty).count() == 0 and line_dedup.line_report(docs).count() == len(texts)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_chat_round_trip(spark):
+    evil = ["\\### Assistant: </turn> ok", "<turn role=\"user\">\n&lt;&amp;", "", None, "é\u0001\n</turn>\n"]
+    rows = [(c, k, r, evil[(c + k) % 5]) for c in range(6) for k, r in enumerate(("user", "assistant", None, "assistant"))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat_format.render(chat_format.canonical_turns(chat_format.records_of_turns(table)))
+    got = {r["conv_id"]: r for r in done.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("t"),
+           chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()}
+    for c in range(6):
+        want = [(r or "", t or "") for d, _, r, t in rows if d == c]
+        assert [(t["role"], t["text"]) for t in got[c]["t"]] == want
+        assert got[c]["l"] == "".join(t for r, t in want if r == "assistant")
+
+
+def test_chat_layouts(spark):
+    records = ['{"instruction":"a","input":"","output":"b"}', '{"conversations":[{"value":"q","from":"human"},{"from":"gpt","value":"r"}]}',
+               '{"response":"y","prompt":"x"}', '{"other":1}', "no json", None]
+    got = chat_format.canonical_turns(spark.createDataFrame([(i, r) for i, r in enumerate(records)], "id int, record string"))
+    rows = [(r["layout"], [tuple(t) for t in r["turns"]]) for r in got.orderBy("id").collect()]
+    assert rows == [("instruction_input", [("user", "a"), ("assistant", "b")]), ("speakers", [("user", "q"), ("assistant", "r")]),
+                    ("prompt_response", [("user", "x"), ("assistant", "y")]), (None, []), (None, []), (None, [])]
+
+
+def test_secrets(spark, empty):
+    rng = random.Random(9)
+    data = []
+    for i in range(160):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(20))
+        odd = "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(16))
+        data.append((i, ["some words password=" + hexes + " more", "see AKIA" + odd + " there", "call 4242" + str(10 ** 11 + i) + " now",
+                         "mail me.%d@example42.org today" % i][i % 4], None if i % 7 else "s"))
+    docs = spark.createDataFrame([*data, (500, None, None), (501, "", "s")], "doc_id long, text string, source string")
+    got = secret_scan.scan(docs, trees=10).collect()
+    assert len(got) == 160
+    assert sum(r["secret"] == (r["label"] == 1) for r in got if r["held_out"]) >= 0.95 * sum(r["held_out"] for r in got)
+    assert secret_scan.scan(empty).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as P
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "seven words that are in no text")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    assert len(P.STAGES) == 5
+    kept = {r["doc_id"] for r in P.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert kept & {1, 2, 3} == set() and 4 in kept and not kept & {5, 6, 9, 45}
+    assert set(range(50, 70)) <= kept
