@@ -15,13 +15,15 @@ def oof_group_mean(df: DataFrame, group: str, y: str, fold: str, out: str = "oof
     """Out-of-fold prediction of the group-mean learner in one pass: the mean of
     ``y`` over rows of the same group in the other folds, from per-(group, fold)
     sums (partial aggregation; the table holds one row per group and fold, is
-    materialized, counted and broadcast when within the limit)."""
+    materialized, counted and broadcast when within the limit).  A null group is a group."""
     from ridecast.operators.joins import bounded_broadcast
     gf = df.groupBy(group, fold).agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_c"))
     gf, small = bounded_broadcast(gf)
     gt = gf.groupBy(group).agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
     gt = F.broadcast(gt) if small else gt
-    j = df.join(gf, [group, fold]).join(gt, group)
+    gf, gt = gf.withColumnsRenamed({group: "_g", fold: "_f"}), gt.withColumnsRenamed({group: "_h"})
+    j = (df.join(gf, F.col(group).eqNullSafe(F.col("_g")) & F.col(fold).eqNullSafe(F.col("_f")))
+         .join(gt, F.col(group).eqNullSafe(F.col("_h"))).drop("_g", "_f", "_h"))
     rest = F.col("_tc") - F.col("_c")
     pred = F.when(rest > 0, (F.col("_ts") - F.col("_s")) / rest)
     return j.withColumn(out, pred).drop("_s", "_c", "_ts", "_tc")

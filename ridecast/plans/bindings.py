@@ -47,13 +47,13 @@ def rides(spark: SparkSession, d: str) -> DataFrame:
                     F.col("o_orderpriority").alias("travel_from"), F.col("o_orderstatus").alias("car_type"))
 
 
-def labelled_rides(spark: SparkSession, d: str, label: str = "number_of_tickets") -> DataFrame:
+def labelled_rides(spark: SparkSession, d: str, label: str = "number_of_tickets", how: str = "inner") -> DataFrame:
     """Rides with their ticket count.  Tickets are counted on the ride key first
     (map-side partial aggregation, one shuffled row per partition and order),
     then joined to the rides table on the same key."""
     counts = counts_per_key(load(spark, d, "lineitem"), "l_orderkey", label) \
         .withColumnRenamed("l_orderkey", "ride_id")
-    return rides(spark, d).join(counts, "ride_id", "inner")
+    return rides(spark, d).join(counts, "ride_id", how)
 
 
 def train_rides(spark: SparkSession, d: str) -> DataFrame:
@@ -61,9 +61,9 @@ def train_rides(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_rides(spark: SparkSession, d: str) -> DataFrame:
-    """Rides to forecast (their true counts kept aside as ``actual``)."""
-    return labelled_rides(spark, d).where(F.col("travel_date") >= F.lit(SCORE_FROM).cast("timestamp_ntz")) \
-        .withColumnRenamed("number_of_tickets", "actual")
+    """All rides to forecast (their true counts kept aside as ``actual``, null for a ride without tickets)."""
+    return labelled_rides(spark, d, how="left").where(
+        F.col("travel_date") >= F.lit(SCORE_FROM).cast("timestamp_ntz")).withColumnRenamed("number_of_tickets", "actual")
 
 
 def clock_rides(spark: SparkSession, d: str) -> DataFrame:

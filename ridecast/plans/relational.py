@@ -670,14 +670,16 @@ def q_weekday_name_index(spark, d):
 
 
 _BAND_JOIN_SQL = f"""
-WITH train AS (SELECT o_orderkey AS ride_id, CAST(o_orderdate AS DATE) AS travel_date,
-                      o_orderpriority AS travel_from, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_of_week,
-                      CAST(CASE WHEN isodow(o_orderdate) - 1 >= 5 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend
-               FROM orders),
-bands AS ({SHIFTED_BANDS_SQL})
-SELECT train.*, bands.mean_travel_day, bands.lower_travel_day, bands.upper_travel_day
-FROM train INNER JOIN bands ON train.day_of_week = bands.day_of_week
- AND train.travel_date BETWEEN bands.date_start AND bands.date_end
+WITH band AS ({SHIFTED_BANDS_SQL}),
+calendar AS (
+    SELECT CAST(t.day AS DATE) AS band_day, mean_travel_day, lower_travel_day, upper_travel_day
+    FROM band, unnest(generate_series(band.date_start, band.date_end, INTERVAL 1 DAY)) AS t(day)
+    WHERE isodow(t.day) - 1 = band.day_of_week),
+ride AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS order_day FROM orders)
+SELECT o_orderkey AS ride_id, order_day AS travel_date, o_orderpriority AS travel_from,
+       CAST(isodow(order_day) - 1 AS INTEGER) AS day_of_week, CAST(isodow(order_day) >= 6 AS INTEGER) AS is_weekend,
+       mean_travel_day, lower_travel_day, upper_travel_day
+FROM ride JOIN calendar ON order_day = band_day
 """
 
 
@@ -689,17 +691,17 @@ def _train_rides(spark, d):
 
 @query("sql_band_join", _BAND_JOIN_SQL, covers=("JN-1", "SRC-5", "SRC-6"))
 def q_sql_band_join(spark, d):
-    """The band join as SQL text over registered views.  The band table is
-    bounded by the calendar (7 rows per quarter), hence the broadcast hint."""
-    _train_rides(spark, d).createOrReplaceTempView("train")
-    bands, small = bounded_broadcast(_spark_weekday_bands(spark, d), materialize=False)
-    bands.createOrReplaceTempView("bands")
-    hint = "/*+ BROADCAST(bands) */" if small else ""
+    """The band join as SQL text: bands become the calendar days they cover, joined to rides by date."""
+    rides, bands = _train_rides(spark, d), _spark_weekday_bands(spark, d)
+    days = spark.sql("""
+        SELECT one_day AS band_day, mean_travel_day, lower_travel_day, upper_travel_day
+        FROM {bands} LATERAL VIEW explode(sequence(date_start, date_end)) AS one_day
+        WHERE date_start <= date_end AND weekday(one_day) = day_of_week""", bands=bands)
+    days, small = bounded_broadcast(days)
     return spark.sql(f"""
-        SELECT {hint} train.*, bands.mean_travel_day, bands.lower_travel_day, bands.upper_travel_day
-        FROM train INNER JOIN bands ON train.day_of_week = bands.day_of_week
-          AND train.travel_date BETWEEN bands.date_start AND bands.date_end
-    """)
+        SELECT {"/*+ BROADCAST(c) */" if small else ""} r.ride_id, r.travel_date, r.travel_from, r.day_of_week,
+               r.is_weekend, c.mean_travel_day, c.lower_travel_day, c.upper_travel_day
+        FROM {{rides}} AS r JOIN {{days}} AS c ON r.travel_date = c.band_day""", rides=rides, days=days)
 
 
 @query("df_band_join", _BAND_JOIN_SQL, covers=("JN-1", "JN-2"))

@@ -50,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not conf and sc is not None:
         conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if sc is None or not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="ridecast-ckpt-")
     if sc is None:
         return conf
