@@ -201,6 +201,21 @@ def test_lines(spark, empty):
     assert line_dedup.line_report(empty).count() == 0 and line_dedup.line_report(docs).count() == len(texts)
 
 
+def test_line_buckets_frequent_keys(spark, monkeypatch):
+    rng = random.Random(5)
+    sims = [rng.getrandbits(60) for _ in range(20)]
+    sims += [s ^ (1 << rng.randrange(60)) for s in sims for _ in range(3)]
+    heads = spark.createDataFrame(list(enumerate(sims)), "node long, sim long")
+    found = lambda: {tuple(r) for r in line_dedup._buckets(heads, 6, 3).collect() if r["size"] > 1}      # noqa: E731
+    plain = found()
+    assert plain
+    monkeypatch.setattr(line_dedup, "HOT_SAMPLE", 1)
+    for least in (0, 2):                                 # all keys counted as frequent; those of more than two lines
+        monkeypatch.setattr(line_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", 1 << 30)
+        assert found() == plain
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
