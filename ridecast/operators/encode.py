@@ -53,10 +53,13 @@ class CategoryCodes:
         by_type: dict = {}
         for c in self.columns:
             by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-        for cols in by_type.values():
+        for kind, cols in by_type.items():
+            present = F.col("value").isNotNull()
+            if kind in ("float", "double"):
+                present &= ~F.isnan("value")                    # NaN counts as null: code -1 in every form
             pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
             distinct = (df.select(F.explode(pairs).alias("_p")).select("_p.*")
-                        .where(F.col("value").isNotNull()).distinct())
+                        .where(present).distinct())
             # fast path, one job: when all pairs fit the inline budget they are
             # collected directly (bounded: at most inline_limit x columns rows)
             budget = self.inline_limit * len(cols)

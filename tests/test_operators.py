@@ -237,3 +237,12 @@ def test_band_join_hot_date_under_skew_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_category_codes_nan_is_null(spark):
+    rows = [(float("nan"),), (2.0,), (None,), (1.0,), (3.0,)]
+    df = spark.createDataFrame(rows, "v double")
+    for limits in ({}, {"inline_limit": 0}, {"inline_limit": 0, "broadcast_limit": 0}):
+        out = CategoryCodes(["v"], **limits).fit_transform(df, suffix="_code")
+        got = [(None if r["v"] is None or r["v"] != r["v"] else r["v"], r["v_code"]) for r in out.collect()]
+        assert sorted(got, key=lambda r: (r[1], r[0] or 0)) == [(None, -1), (None, -1), (1.0, 0), (2.0, 1), (3.0, 2)]
