@@ -51,7 +51,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.line_report(load(spark, sf_dir, "documents").select("doc_id", "text"), edits="characters")
 
 
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

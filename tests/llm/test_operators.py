@@ -201,6 +201,30 @@ def test_lines(spark, empty):
     assert line_dedup.line_report(empty).count() == 0 and line_dedup.line_report(docs).count() == len(texts)
 
 
+def test_lines_by_characters(spark, empty):
+    """One edited word, or one typo in a short line, links; all that links is near by brute force."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdeghiklmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
+    lines, pairs = [], []
+    for n in (3, 4, 5, 7, 9, 10, 12, 20, 26, 40, 80):
+        for _ in range(12):
+            words = [rng.choice(vocab) for _ in range(n)]
+            edited, k = list(words), rng.randrange(n)
+            edited[k] = rng.choice(vocab) if n >= 10 else edited[k][:-1] + "z"
+            lines += [" ".join(words), " ".join(edited)]
+            if _edits(*lines[-2:]) <= 0.2 * max(map(len, lines[-2:])):
+                pairs.append((len(lines) - 2, len(lines) - 1, n))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group"] for r in line_dedup.line_groups(docs, edits="characters").collect()}
+    linked = Counter(n for a, b, n in pairs if got[a] == got[b])
+    total = Counter(n for _, _, n in pairs)
+    assert all(linked[n] >= total[n] - 1 for n in total) and sum(total.values()) > 120
+    groups = Counter(got.values())
+    assert all(size == 1 or size == 2 for size in groups.values())
+    assert sum(size == 2 for size in groups.values()) == sum(linked.values())
+    assert line_dedup.line_report(empty, edits="characters").count() == 0
+
+
 def test_line_buckets_frequent_keys(spark, monkeypatch):
     rng = random.Random(5)
     sims = [rng.getrandbits(60) for _ in range(20)]
