@@ -225,6 +225,14 @@ def test_lines_by_characters(spark, empty):
     assert line_dedup.line_report(empty, edits="characters").count() == 0
 
 
+@pytest.mark.parametrize("edits", ["words", "characters"])
+def test_short_equal_lines(spark, edits):
+    texts = ["Menu\n---\n你好世界今天天气很好\nRead more", "menu!\n\nsomething else entirely here", "你好世界今天天气很好\nREAD more\n7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], list(r["removed"])) for r in line_dedup.line_report(docs, edits=edits).collect()}
+    assert got == {0: (3, []), 1: (2, [0]), 2: (3, [0, 1])}
+
+
 def test_line_buckets_frequent_keys(spark, monkeypatch):
     rng = random.Random(5)
     sims = [rng.getrandbits(60) for _ in range(20)]
