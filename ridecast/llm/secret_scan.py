@@ -20,23 +20,31 @@ from pyspark.sql import functions as F
 from ridecast.llm.common import fields
 from ridecast.session import cut_lineage
 
-#: A candidate with the word, the name and the separator before it, and the word after it (looked at, not taken).
-CANDIDATE = ("(?<!\\S)(?:(\\S++)[ \\t]++)??(?:([A-Za-z_][A-Za-z0-9_.\\-]{1,63})[ \\t]?[=:][ \\t]?)?[\"'(\\[{<]*"
-             "((?=[A-Za-z+/_@.\\-]*+[0-9])[A-Za-z0-9+/_@.\\-]{12,}+)(?=[\"')\\]}>,;]*+[ \\t]*+(\\S*+))")
+#: A candidate, which may start after any character that it can't hold; what ends before it; what begins after it.
+CANDIDATE = "(?<![A-Za-z0-9+/_@.\\-])(?=[A-Za-z+/_@.\\-]*+[0-9])[A-Za-z0-9+/_@.\\-]{12,}+"
+LEFT = "(\\S*?)[ \\t]*(?:([A-Za-z_][A-Za-z0-9_.\\-]{1,63})[\"']?[ \\t]?[=:][ \\t]?)?[\"'(\\[{<]*$"
+RIGHT = "^[\"')\\]}>,;]*+[ \\t]*+(\\S*+)"
+AROUND = 256
 CLASSES = ("lower", "upper", "digit", "other")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, source, seq, before, name, candidate, after): every candidate of every text, numbered in its text.
 
-    A candidate is a run of at least 12 letters, digits and ``+/_@.-`` with a digit among them, at the start of a word or
-    after opening quotes and brackets or after a name with ``=`` or ``:``.  Null and empty texts have none."""
-    whole = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    part = lambda i: F.regexp_extract("x", CANDIDATE, i)                                 # noqa: E731
-    return (fields(docs, "doc_id", "source", "text").where("text is not null")
-            .select("doc_id", "source", F.posexplode(whole).alias("seq", "x"))
-            .select("doc_id", "source", "seq", part(1).alias("before"), part(2).alias("name"),
-                    part(3).alias("candidate"), part(4).alias("after")))
+    A candidate is a whole run of at least 12 letters, digits and ``+/_@.-`` with a digit among them, wherever it stands.
+    name: what is assigned to it by ``=`` or ``:``; before and after: the rest of the word it stands in, or the next word on the
+    line, all within AROUND characters.  Null and empty texts have none."""
+    rows = (fields(docs, "doc_id", "source", "text").where("text is not null")
+            .select("doc_id", "source", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("runs"),
+                    F.split("text", CANDIDATE, -1).alias("gaps")).where(F.size("runs") > 0))
+    run = lambda i: F.coalesce(F.get("runs", i), F.lit(""))                              # noqa: E731
+    found = F.transform("runs", lambda x, i: F.struct(
+        x.alias("candidate"), F.substring(F.concat(run(i - 1), F.get("gaps", i)), -AROUND, AROUND).alias("left"),
+        F.substring(F.concat(F.get("gaps", i + 1), run(i + 1)), 1, AROUND).alias("right")))
+    return (rows.select("doc_id", "source", F.posexplode(found).alias("seq", "x"))
+            .select("doc_id", "source", "seq", F.regexp_extract("x.left", LEFT, 1).alias("before"),
+                    F.regexp_extract("x.left", LEFT, 2).alias("name"), "x.candidate",
+                    F.lit("").alias("after")))
 
 
 def dictionary(docs: DataFrame, share: float = 2.0 ** -15) -> DataFrame:
@@ -118,9 +126,9 @@ HARMLESS_FORMS = ("^(?:[^@]+@[^@]+\\.[A-Za-z]{2,}\\.?|[0-9]{1,3}(?:\\.[0-9]{1,3}
 
 def label_findings(rows: DataFrame) -> DataFrame:
     """``rows`` with ``label``: 1 for known key formats and for values assigned to a secret's name, 0 for addresses,
-    numbers and universal ids, null for what only the forest can tell."""
+    numbers and universal ids, null for what only the forest can tell (``scheme://user:password@host`` is no address)."""
     c = F.col("candidate")
-    return rows.withColumn("label", F.when(c.rlike(HARMLESS_FORMS), 0).when(
+    return rows.withColumn("label", F.when(c.rlike(HARMLESS_FORMS) & ~F.col("before").endswith("://"), 0).when(
         c.rlike(SECRET_FORMS) | F.coalesce(F.col("name").rlike(SECRET_NAMES), F.lit(False)), 1))
 
 
