@@ -44,7 +44,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     return (rows.select("doc_id", "source", F.posexplode(found).alias("seq", "x"))
             .select("doc_id", "source", "seq", F.regexp_extract("x.left", LEFT, 1).alias("before"),
                     F.regexp_extract("x.left", LEFT, 2).alias("name"), "x.candidate",
-                    F.lit("").alias("after")))
+                    F.regexp_extract("x.right", RIGHT, 1).alias("after")))
 
 
 def dictionary(docs: DataFrame, share: float = 2.0 ** -15) -> DataFrame:
