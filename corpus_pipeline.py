@@ -45,7 +45,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences, with their places."""
     pieces = cut_lineage(packing.token_pieces(docs, tokenizer_path(), 2048))
-    return packing.pack(pieces, packing.Capacities(tokens=2048))
+    return packing.pack(pieces, packing.sequence(2048))
 
 
 STAGES = [

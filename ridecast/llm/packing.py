@@ -34,6 +34,12 @@ class Capacities:
     rule: str = "norm"
 
 
+def sequence(tokens: int) -> Capacities:
+    """Capacities for sequences of ``tokens`` that cost no sequence: pieces have a token at least, so there are at most
+    ``tokens``, and the sum of their squared lengths is at most the square of their sum.  All three residuals weigh in."""
+    return Capacities(tokens=tokens, documents=tokens, attention=tokens ** 2)
+
+
 def token_pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of every text's token ids followed by ``end``: doc_id, piece, start, length, ids_crc32 (of little-endian
     unsigned 32-bit ids), and with ``with_ids`` those bytes.  A longer document is cut every ``length`` tokens.  Null and

@@ -31,7 +31,7 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = cut_lineage(packing.token_pieces(docs, tokenizer_path(), 2048))
-    return packing.pack(pieces, packing.Capacities(tokens=2048)).select(
+    return packing.pack(pieces, packing.sequence(2048)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,34 @@ def test_packing(docs, rows, empty):
     assert packing.pack(packing.token_pieces(empty, tokenizer_path())).count() == 0
 
 
+def test_packing_weighs_all_capacities(monkeypatch):
+    """The registered uses have three finite capacities; these choose another bin than tokens alone, and cost none."""
+    import corpus_pipeline as P
+    from ridecast.llm import queries as Q
+    lengths = np.array([160, 80, 20, 170, 80, 30])
+    assert packing.best_fit(lengths, packing.sequence(200))[0].tolist() == [1, 2, 1, 0, 2, 0]
+    assert packing.best_fit(lengths, packing.Capacities(tokens=200))[0].tolist() == [1, 2, 2, 0, 2, 0]
+    for full in ([200] * 3, [1] * 400):
+        assert packing.best_fit(np.array(full), packing.sequence(200))[0].max() + 1 == sum(full) // 200
+    used = []
+
+    class Seen(Exception):
+        pass
+
+    def pack(pieces, caps):
+        used.append(caps)
+        raise Seen
+    monkeypatch.setattr(packing, "token_pieces", lambda *a: None)
+    monkeypatch.setattr(packing, "pack", pack)
+    for module in (Q, P):
+        monkeypatch.setattr(module, "cut_lineage", lambda x: x)
+    monkeypatch.setattr(Q, "load", lambda *a: type("T", (), {"select": lambda *a: None})())
+    for run in (lambda: Q.op2_best_fit(None, ""), lambda: P.pack_sequences(None, None, "")):
+        with pytest.raises(Seen):
+            run()
+    assert [(c.tokens, c.documents, c.attention) for c in used] == [(2048, 2048, 2048 ** 2)] * 2
+
+
 def test_brown_lm(docs, rows, empty):
     train = docs.where("doc_id % 3 > 0")
     model = brown_lm.fit(train, classes=8, exchanges=4, unit_share=0.002, known_share=0.004)
