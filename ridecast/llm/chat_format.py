@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ridecast.llm.common import fields
 
 TURNS = "array<struct<role: string, text: string>>"
+#: Records of up to so many characters are within the limits of the JSON parser.
+PARSED = 20_000_000
 SCALARS = "(: |ARRAY<)(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DATE|FLOAT|BINARY|DECIMAL\\(\\d+,\\d+\\))(?=[,>]|$)"
 
 
@@ -66,15 +68,21 @@ def fingerprint(record: Column) -> Column:
         F.schema_of_variant(F.try_parse_json(record)), SCALARS, "$1"), "([:,]) ", "$1"), 256)
 
 
-def _turns(record: Column, m: Mapping) -> Column:
+def _turns(record: Column, m: Mapping, beside: Column | None = None) -> Column:
+    """The turns of a record in layout ``m``; its strings are read from ``beside`` (field, role, text), if given."""
     v = F.try_parse_json(record)
     if m.items:
         items, role, text = m.items
-        got = F.try_variant_get(v, f"$.{items}", f"array<struct<`{role}`: string, `{text}`: string>>")
+        if beside is None:
+            got = F.try_variant_get(v, f"$.{items}", f"array<struct<`{role}`: string, `{text}`: string>>")
+        else:
+            got, role, text = F.filter(beside, lambda x: x["field"] == items), "role", "text"
         name = lambda r: F.coalesce(*[F.when(r == k, F.lit(n)) for k, n in m.roles.items()], r)       # noqa: E731
         return F.transform(got, lambda x: F.struct(F.coalesce(name(x[role]), F.lit("")).alias("role"),
                                                    F.coalesce(x[text], F.lit("")).alias("text"))).cast(TURNS)
-    text = lambda f: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(""))                  # noqa: E731
+    said = lambda f: (F.try_variant_get(v, f"$.{f}", "string") if beside is None else                 # noqa: E731
+                      F.get(F.filter(beside, lambda x: x["field"] == f), F.lit(0))["text"])
+    text = lambda f: F.coalesce(said(f), F.lit(""))                                                   # noqa: E731
     one = [F.when(text(f) == "", F.array().cast(TURNS)).otherwise(F.array(F.struct(
         F.lit(r).alias("role"), text(f).alias("text"))).cast(TURNS)) if f in m.optional else F.array(F.struct(
             F.lit(r).alias("role"), text(f).alias("text"))).cast(TURNS) for r, f in m.turns]
@@ -85,33 +93,43 @@ def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
     """``records`` with ``layout`` (the mapping's name) and ``turns`` (role, text), from the JSON text in ``record``.
 
     A record whose fingerprint no mapping has (or that isn't JSON, or null) gets a null layout and no turns.  A null
-    text or role counts as empty.  ``record`` is dropped."""
-    known = records.withColumn("_print", fingerprint(F.col("record")))
+    text or role counts as empty.  ``record`` is dropped.  With a column ``beside`` (``records_of_turns``), which is dropped
+    too, the record tells the layout alone and the strings come from there.  A record of over PARSED characters that doesn't
+    parse raises an error, as the parser's limits (a string of 20,000,000 characters, 128 MiB) may be the reason."""
+    record, beside = F.col("record"), F.col("beside") if "beside" in records.columns else None
+    known = records.withColumn("_print", F.when(
+        (F.length(record) > PARSED) & F.try_parse_json(record).isNull(),
+        F.raise_error(F.lit("a record is beyond the limits of the JSON parser, or a long text that isn't JSON")).cast("string"))
+        .otherwise(fingerprint(record)))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for m in mappings:
         own = F.col("_print") == m.fingerprint
         layout = F.when(own, F.lit(m.name)).otherwise(layout)
-        turns = F.when(own, _turns(F.col("record"), m)).otherwise(turns)
-    return known.withColumn("layout", layout).withColumn("turns", turns).drop("_print", "record")
+        turns = F.when(own, _turns(record, m, beside)).otherwise(turns)
+    return known.withColumn("layout", layout).withColumn("turns", turns).drop("_print", "record", "beside")
 
 
 def records_of_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, record) of rows (conv_id, turn, role, text): one JSON record per conversation, in the plainest layout that
-    holds it: prompt and response, the same with a system text, otherwise a list of messages.
+    """(conv_id, record, beside) of rows (conv_id, turn, role, text): one JSON record per conversation, in the plainest layout
+    that holds it: prompt and response, the same with a system text, otherwise a list of messages.
 
-    Turns go by turn, then role and text; a null text is empty."""
+    The record is a skeleton with empty strings and, of a list, one item, so no text meets the parser's limits; ``beside``
+    has the strings (field, role, text).  Turns go by turn, then role and text; a null text is empty."""
     t = (fields(rows, "conv_id", "turn", "role", "text").groupBy("conv_id")
          .agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"),
                                                    F.coalesce("text", F.lit("")).alias("text")))).alias("t")))
-    roles = F.concat_ws(",", F.col("t.role"))
-    text = lambda i: F.col("t")[i]["text"]                                                            # noqa: E731
-    pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response")))
-    three = F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response")))
-    many = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
-                              .alias("messages")))
-    exact = lambda n, *r: (F.size("t") == n) & (roles == ",".join(r))                                 # noqa: E731
-    return t.select("conv_id", F.when(exact(2, "user", "assistant"), pair)
-                    .when(exact(3, "system", "user", "assistant"), three).otherwise(many).alias("record"))
+    def layout(record: str, *names: str) -> Column:
+        name = lambda i: F.get(F.array(*[F.lit(n) for n in names]), i) if len(names) > 1 else F.lit(names[0])
+        return F.struct(F.lit(record).alias("record"), F.transform("t", lambda x, i: F.struct(
+            name(i).alias("field"), x["role"].alias("role"), x["text"].alias("text"))).alias("beside"))
+
+    roles = F.transform("t", lambda x: x["role"])
+    exact = lambda *r: (F.size("t") == len(r)) & (roles == F.array(*[F.lit(x) for x in r]))           # noqa: E731
+    pair = layout('{"prompt":"","response":""}', "prompt", "response")
+    three = layout('{"system":"","prompt":"","response":""}', "system", "prompt", "response")
+    many = layout('{"messages":[{"role":"","content":""}]}', "messages")
+    return t.select("conv_id", F.when(exact("user", "assistant"), pair).when(exact("system", "user", "assistant"), three)
+                    .otherwise(many).alias("r")).select("conv_id", "r.record", "r.beside")
 
 
 #: The template: each turn opens with its role and closes with a mark of its own.

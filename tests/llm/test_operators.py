@@ -299,6 +299,20 @@ def test_chat_round_trip(spark):
         assert got[c]["l"] == "".join(t for r, t in want if r == "assistant")
 
 
+def test_chat_long_texts(spark):
+    n = 20_000_001
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", None), (2, 0, "user", None), (2, 1, "user", "z")],
+                                 "conv_id long, turn long, role string, text string")
+    rows = rows.withColumn("text", F.coalesce("text", F.repeat(F.lit("a"), n)))
+    done = chat_format.digest(chat_format.render(chat_format.canonical_turns(chat_format.records_of_turns(rows))))
+    got = {r["conv_id"]: r for r in done.collect()}
+    assert [(got[c]["n_turns"], got[c]["loss_chars"]) for c in (1, 2)] == [(2, n), (2, 0)]
+    assert got[1]["loss_sha256"] == hashlib.sha256(b"a" * n).hexdigest()
+    record = F.concat(F.lit('{"prompt":"x","response":"'), F.repeat(F.lit("a"), n), F.lit('"}'))
+    with pytest.raises(Exception, match="limits of the JSON parser"):
+        chat_format.canonical_turns(spark.range(1).select("id", record.alias("record"))).collect()
+
+
 def test_chat_layouts(spark):
     records = ['{"instruction":"a","input":"","output":"b"}', '{"conversations":[{"value":"q","from":"human"},{"from":"gpt","value":"r"}]}',
                '{"response":"y","prompt":"x"}', '{"other":1}', "no json", None]
