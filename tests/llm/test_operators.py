@@ -80,6 +80,21 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard_join.near_groups(empty).count() == 0
 
 
+def test_jaccard_counts_every_link(docs, rows):
+    def shingles(t):
+        w = WORDS.findall((t or "").lower())
+        return frozenset(tuple(w[j:j + 4]) for j in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    sets = {i: shingles(t) for i, t in rows}
+    classes = set(sets.values()) - {frozenset()}
+    for percent in (85, 70):
+        links = {x: sum(100 * len(x & y) >= percent * len(x | y) for y in classes if y != x) for x in classes}
+        got = {r["doc_id"]: r for r in jaccard_join.near_groups(docs, 4, percent).collect()}
+        assert {i: r["class_links"] for i, r in got.items()} == {i: links.get(x, 0) for i, x in sets.items()}
+        tree = {r["doc_id"]: r for r in jaccard_join.near_groups(docs, 4, percent, complete=False).collect()}
+        assert {i: r["component_id"] for i, r in got.items()} == {i: r["component_id"] for i, r in tree.items()}
+    assert max(links.values()) > 10
+
+
 def test_substring_dedup(docs, rows, empty):
     words = {i: WORDS.findall(t or "") for i, t in rows}
     first = {}
