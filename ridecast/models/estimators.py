@@ -22,6 +22,7 @@ import random
 import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
@@ -287,11 +288,14 @@ def importance_table(spark, model, names: list[str]) -> DataFrame:
     """Feature, importance (4 decimals, half-even), std of the per-tree
     importances and rank (importance desc, name as tie-break).  The per-tree
     table is exploded and aggregated by Spark."""
-    per_tree = [(t, names[j], float(v)) for t, tree in enumerate(model.trees)
-                for j, v in enumerate(tree.featureImportances.toArray())]
+    def shares(part):
+        return part.importances(len(names)) if hasattr(part, "importances") else np.asarray(part.featureImportances.toArray())
+
+    per_tree = [(t, names[j], float(v)) for t, tree in enumerate(model.trees) for j, v in enumerate(shares(tree))]
     pt = spark.createDataFrame(per_tree, "tree int, feature string, importance double")
     std = pt.groupBy("feature").agg(F.stddev_pop("importance").alias("std"))
-    imp = spark.createDataFrame([(names[j], float(v)) for j, v in enumerate(model.featureImportances.toArray())],
+    total = model.featureImportances
+    imp = spark.createDataFrame([(names[j], float(v)) for j, v in enumerate(getattr(total, "toArray", lambda: total)())],
                                 "feature string, importance double")
     from pyspark.sql import Window
     w = Window.orderBy(F.desc("importance"), F.asc("feature"))          # one row per feature

@@ -46,13 +46,3 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank0",
     if total:
         out = out.withColumn(total, F.col("_total").cast("long"))
     return out.drop("_pid", "_off", "_mid", "_total")
-
-
-def ntile_from_rank(rank0: Column, n: Column, k: int) -> Column:
-    """``ntile(k)`` (1-based) from a 0-based rank and the row count: the first
-    ``n % k`` tiles hold one row more, as SQL's ntile does."""
-    q = F.floor(n / k)
-    r = n - q * k
-    big = r * (q + 1)
-    return F.when(rank0 < big, F.floor(rank0 / (q + 1)) + 1) \
-        .otherwise(r + F.floor((rank0 - big) / q) + 1).cast("int")
