@@ -433,6 +433,11 @@ def poisson(u: Column, mean: Column, most: int = 200) -> Column:
 # estimators
 # ---------------------------------------------------------------------------
 
+def features_array(name: str) -> Column:
+    """A vector column as an array; null stays null."""
+    return F.when(F.col(name).isNotNull(), vector_to_array(F.col(name)))
+
+
 def _param(name: str, doc: str, kind=None) -> Param:
     return Param(Params._dummy(), name, doc, kind) if kind else Param(Params._dummy(), name, doc)
 
@@ -449,13 +454,13 @@ class _TreeParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed, HasWei
         return F.xxhash64(self._x(), F.col(self.getLabelCol()).cast("double")).cast("string")
 
     def _x(self) -> Column:
-        return vector_to_array(F.col(self.getFeaturesCol()))
+        return features_array(self.getFeaturesCol())
 
     def _given(self, df: DataFrame) -> tuple[DataFrame, int]:
         """(x, y, key, given weight) of the rows with a label, and the number of features (0: no rows)."""
         weight = F.col(self.getWeightCol()) if self.isSet(self.weightCol) else F.lit(1)
         rows = df.select(self._x().alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"), self._key().alias("key"),
-                         weight.cast("int").alias("given")).where("y is not null and not isnan(y) and given > 0")
+                         weight.cast("int").alias("given")).where("x is not null and y is not null and not isnan(y) and given > 0")
         first = rows.select(F.size("x")).first()
         return rows, first[0] if first else 0
 
@@ -484,7 +489,7 @@ class LevelForest(Estimator, _TreeParams):
     that a node may split on; ``minSplit`` and ``minLeaf`` are rows that a node and each side of a split need;
     ``minDecrease`` is the fall of the cost, over all rows of the tree, that a split must bring.
 
-    Rows without a label, or of weight 0, are left out; ``weightCol`` holds whole numbers, how often a row counts.  A NaN
+    Rows without a label or features, or of weight 0, are left out; ``weightCol`` holds whole numbers, how often a row counts.  A NaN
     feature goes right at every cut.  No rows give trees that predict 0."""
 
     numTrees = _param("numTrees", "trees", TypeConverters.toInt)
@@ -521,7 +526,7 @@ class LevelForest(Estimator, _TreeParams):
         rows = dataset.select(
             self._x().alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"),
             F.transform(self.sample(dataset), lambda m: (m * weight).cast("short")).alias("w")
-        ).where("y is not null and not isnan(y)")
+        ).where("x is not null and y is not null and not isnan(y)")
         rows = cut_lineage(rows)                        # read once a level: the draws are made once
         first = rows.select(F.size("x")).first()
         if first is None:
@@ -629,7 +634,7 @@ class TreesModel(Model, HasFeaturesCol, HasPredictionCol):
         return self._set(predictionCol=name)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        x = vector_to_array(F.col(self.getFeaturesCol()))
+        x = features_array(self.getFeaturesCol())
         out = F.lit(self.base) + F.lit(self.factor) * tree_sum(self.trees)(F.coalesce(x, F.array(
             *[F.lit(float("nan"))] * max(self.n_features, 1))))
         return dataset.withColumn(self.getPredictionCol(), F.when(x.isNotNull(), out))
@@ -647,7 +652,7 @@ class TreesModel(Model, HasFeaturesCol, HasPredictionCol):
             n = left.sum(1)
             return pd.Series(np.divide(total, n, out=np.full(len(x), np.nan), where=n > 0))
 
-        found = mean(vector_to_array(F.col(self.getFeaturesCol())), weights)
+        found = mean(features_array(self.getFeaturesCol()), weights)
         return dataset.withColumn(out, F.when(~F.isnan(found), found))
 
     @property

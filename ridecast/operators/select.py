@@ -98,7 +98,7 @@ def _histograms(keys: DataFrame, ranges: list[tuple]) -> dict:
     each = keys.select("n", F.explode(_inside(ranges)).alias("i"))
     # both ends as decimals: a difference of two longs may not fit one
     offset = F.col("n").cast("decimal(20,0)") - F.get(low, "i").cast("decimal(20,0)")
-    bucket = F.floor(offset / F.get(width, "i").cast("decimal(20,0)")).cast("int")
+    bucket = F.call_function("div", offset, F.get(width, "i").cast("decimal(20,0)")).cast("int")
     counts = each.groupBy("i", bucket.alias("b")).agg(F.count("*").alias("rows")).collect()
     out: dict = {(i, r): [] for i, r in enumerate(ranges)}
     for r in sorted(counts, key=lambda r: (r["i"], r["b"])):
