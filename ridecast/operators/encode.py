@@ -44,6 +44,7 @@ class CategoryCodes:
     inline_limit: int = INLINE_LIMIT
     broadcast_limit: int = BROADCAST_LIMIT
     dictionaries: dict = field(default_factory=dict)
+    kinds: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "CategoryCodes":
         """One pass over ``df`` for all columns: the distinct (column, value)
@@ -51,6 +52,7 @@ class CategoryCodes:
         (partial aggregation map-side) and checkpointed; sizes, inline values
         and the larger dictionaries are then read from that small table."""
         by_type: dict = {}
+        self.kinds = {c: df.schema[c].dataType.simpleString() for c in self.columns}
         for c in self.columns:
             by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
         for kind, cols in by_type.items():
@@ -94,6 +96,14 @@ class CategoryCodes:
         d = self.dictionaries[col]
         return d.values
 
+    def frame(self, spark, col: str) -> DataFrame:
+        """(value, code) of a fitted column, whatever its size."""
+        d = self.dictionaries[col]
+        if d.values is None:
+            return d.frame.select("value", "code")
+        kind = self.kinds[col]
+        return spark.createDataFrame([(v, i) for i, v in enumerate(d.values)], f"value {kind}, code int")
+
     def _inline(self, d: _Dictionary) -> Column:
         if not d.values:
             return F.lit(-1).cast("int")
@@ -139,13 +149,54 @@ def one_hot(df: DataFrame, col: str, values: list | None = None, prefix: str | N
         distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
         values = [r[0] for r in distinct.orderBy(col).limit(limit + 1).collect()]
         if len(values) > limit:
-            raise ValueError(f"{col} has more than {limit} categories; use CategoryCodes instead")
+            raise ValueError(f"{col} has more than {limit} categories: a column for each is too many, use SparseOneHot")
     prefix = col if prefix is None else prefix
     new = [F.when(F.col(col) == v, 1).otherwise(0).cast("int").alias(f"{prefix}_{v}") for v in values]
     out = df.select("*", *new)
     return out.drop(col) if drop_source else out
 
 
+@dataclass
+class SparseOneHot:
+    """One-hot at any number of categories: one sparse vector a row instead of a column a category.
+
+    Fitted on one frame, it gives vectors of the same width on every other: the columns' dictionaries side by side, each
+    in value order.  Null, NaN and unseen values set nothing in their column's part."""
+    columns: list[str]
+    out: str = "features"
+    codes: CategoryCodes | None = None
+    encoder: object = None
+
+    def fit(self, df: DataFrame) -> "SparseOneHot":
+        from pyspark.ml.feature import OneHotEncoder
+        self.codes = CategoryCodes(self.columns).fit(df)
+        # the encoder learns sizes from the greatest code: one row of them; one more code stands for all that set nothing
+        sizes = [float(self.codes.dictionaries[c].size) for c in self.columns]
+        greatest = df.sparkSession.createDataFrame([tuple(max(n - 1, 0.0) for n in sizes)],
+                                                   ", ".join(f"i{k} double" for k in range(len(sizes))))
+        names = [f"i{k}" for k in range(len(sizes))]
+        self.encoder = OneHotEncoder(inputCols=names, outputCols=[f"v{k}" for k in range(len(names))], handleInvalid="keep",
+                                     dropLast=True).fit(greatest)
+        return self
+
+    @property
+    def width(self) -> int:
+        return sum(max(self.codes.dictionaries[c].size, 1) for c in self.columns)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the vector column ``out`` in the place of the fitted columns."""
+        from pyspark.ml.feature import VectorAssembler
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in self.columns]
+        coded = self.codes.transform(df.select(F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"),
+                                               *[F.col(f"`{c}`") for c in self.columns]))
+        sizes = [max(self.codes.dictionaries[c].size, 1) for c in self.columns]
+        coded = coded.select("rest", *[F.when(F.col(f"`{c}`") < 0, float(n)).otherwise(F.col(f"`{c}`")).cast("double").alias(f"i{k}")
+                                       for k, (c, n) in enumerate(zip(self.columns, sizes))])
+        parts = [f"v{k}" for k in range(len(sizes))]
+        out = VectorAssembler(inputCols=parts, outputCol="vector").transform(self.encoder.transform(coded))
+        return out.select(*[F.col(f"rest.`{c}`") for c in df.columns if c not in self.columns], F.col("vector").alias(self.out))
+
+
 def align_columns(df: DataFrame, columns: list[str], fill=0) -> DataFrame:
     """Exactly ``columns`` in that order: missing ones are the constant
     ``fill``, extra ones are dropped."""

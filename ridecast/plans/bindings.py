@@ -6,6 +6,8 @@
 * rides    = ``orders``: ride id ``o_orderkey``, travel date ``o_orderdate``,
   origin ``o_orderpriority``, car type ``o_orderstatus``; the label is the
   number of ``lineitem`` rows per order (tickets per ride);
+* shared rides = ``lineitem`` rows again, several to a ride: ride id ``l_suppkey / 4``, travel date the
+  first day of the quarter of ``l_shipdate``, clock and capacity from ``l_linenumber`` and ``l_quantity``;
 * clock times come from ``events.ts`` rendered as ``H:mm`` text;
 * travel-time tables are derived from ``lineitem`` (see sources/travel.py).
 
@@ -69,3 +71,13 @@ def score_rides(spark: SparkSession, d: str) -> DataFrame:
 def clock_rides(spark: SparkSession, d: str) -> DataFrame:
     ev = load(spark, d, "events")
     return ev.select(F.col("event_id").alias("ride_id"), F.col("ts"), clock_text("ts").alias("travel_time"))
+
+
+def shared_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Tickets of which several share a ride, with a clock and a capacity."""
+    li = load(spark, d, "lineitem")
+    return li.select(
+        F.floor(F.col("l_suppkey") / 4).alias("ride_id"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("travel_date"),
+        F.concat((F.col("l_linenumber") % 2 * 7 + 6).cast("string"), F.lit(":05")).alias("travel_time"),
+        F.col("l_returnflag").alias("travel_from"), F.col("l_linestatus").alias("car_type"),
+        F.when(F.col("l_quantity") >= 25, 49).otherwise(11).alias("max_capacity"))
