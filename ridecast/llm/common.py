@@ -4,6 +4,7 @@ and of word windows, and run lengths.  Words are found on bytes: every separator
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+OTHER = np.uint64(0xD6E8FEB86659FD93)
+LONG_WORD = 1024            # words of more bytes are hashed one by one
 WHITE = "[\\x20\\x09-\\x0D]+"
 
-_powers: dict[int, np.ndarray] = {}
-
-
 def space_words() -> np.ndarray:
     """Byte table of ``[^\\x20\\x09-\\x0D]``."""
     t = np.ones(256, bool)
@@ -39,23 +38,6 @@ def lower_table() -> np.ndarray:
     return t
 
 
-def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, at least."""
-    if len(_powers.get(base, ())) <= n:
-        steps = np.full(max(n + 1, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base]
-
-
-def _spans(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The polynomial sum(v[a + i] * BASE**i) of each span, from prefix sums; it does not depend on the place."""
-    n = len(v)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(v * powers(n)[:n], out=sums[1:])
-    return (sums[b] - sums[a]) * powers(n, INVERSE)[a]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer (the splitmix finaliser) over uint64."""
     x = x ^ (x >> np.uint64(30))
@@ -107,14 +89,41 @@ def find_words(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np
 
 
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes: a polynomial, then mixed with the length."""
-    return mix64(_spans(raw.astype(np.uint64) + np.uint64(1), starts, ends) + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word's bytes: blocks of eight bytes, mixed one after the other.  Not linear in the bytes, so
+    that no pattern of exchanged letters cancels out.  Of n different words about n^2 / 2^65 pairs share a hash: where a
+    result depends on equal words, the operators compare more than this hash or say so."""
+    size = (ends - starts).astype(np.int64)
+    out = mix64(size.astype(np.uint64) * ODD + OTHER)
+    blocks = np.ndarray((len(raw) + 1,), "<u8", np.concatenate((raw, np.zeros(9, np.uint8))), strides=(1,))
+    at, left, going = starts.astype(np.int64), size, np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    while len(going):
+        rest = left[going]
+        block = blocks[at[going]]
+        short = rest < 8
+        block[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[going] = mix64((out[going] ^ block) * ODD + OTHER)
+        at, left = at + 8, left - 8
+        going = going[rest > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(blake2b(raw[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def hash_windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive word hashes (windows may cross texts: the caller drops those)."""
-    at = np.arange(max(len(h) - k + 1, 0))
-    return mix64(_spans(h, at, at + k))
+    """Hash of every k consecutive word hashes (windows may cross texts: the caller drops those).  Windows of 1, 2, 4, …
+    words are mixed from two halves, and those of k words from the ones that k is the sum of."""
+    n = len(h) - k + 1
+    if n <= 0 or k < 1:
+        return np.empty(0, np.uint64)
+    out, done, size, level = np.full(n, np.uint64(k)), 0, 1, h
+    while True:
+        if k & size:
+            out = mix64((out ^ level[done:done + n]) * ODD + OTHER)
+            done += size
+        if 2 * size > k:
+            return out
+        level = mix64(mix64(level[:-size] * OTHER + ODD) + level[size:])
+        size *= 2
 
 
 def owners(first: np.ndarray) -> np.ndarray:

@@ -39,6 +39,11 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start … start + size - 1 of every pair, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Encoder:
     """One per Python worker: the tokenizer and the pre-tokens met so far."""
 
@@ -46,8 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE  # noqa: F401  (the model class must be loaded)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True           # their strings in a text are ordinary text
         spec = json.loads(self.whole.to_str())
+        # strings that the tokenizer takes as tokens of their own: texts with one of them go through all of it
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.fast = (steps[0].get("pattern", {}).get("Regex") == KNOWN_SPLIT and len(steps) == 2
@@ -62,6 +68,9 @@ class Encoder:
         self.place = np.empty(0, np.int64)                # where each one's ids begin
         self.count = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.begin = np.empty(0, np.int64)                # where its bytes begin, and how many there are
+        self.size = np.empty(0, np.int64)
+        self.bytes = np.empty(0, np.uint8)
 
     def _learn(self, raw, starts, ends, h):
         """Encode the pre-tokens that are not known yet."""
@@ -86,11 +95,26 @@ class Encoder:
         counts = np.concatenate(counts)
         place = np.cumsum(counts) - counts + len(self.ids)
         self.ids = np.concatenate((self.ids, *ids))
+        size = (ends - starts)[at]
+        begin = np.cumsum(size) - size + len(self.bytes)
+        self.bytes = np.concatenate((self.bytes, raw[flat(starts[at], size)]))
         known = np.concatenate((self.known, h))
         order = np.argsort(known, kind="stable")
         self.known = known[order]
         self.place = np.concatenate((self.place, place))[order]
         self.count = np.concatenate((self.count, counts))[order]
+        self.begin = np.concatenate((self.begin, begin))[order]
+        self.size = np.concatenate((self.size, size))[order]
+
+    def _other(self, raw, starts, ends, at):
+        """Which pre-tokens only share their hash with the known ones ``at``: their bytes differ."""
+        size = ends - starts
+        other = size != self.size[at]
+        same = np.flatnonzero(~other)
+        n = size[same]
+        differ = raw[flat(starts[same], n)] != self.bytes[flat(self.begin[at[same]], n)]
+        other[same[np.repeat(np.arange(len(same)), n)[differ]]] = True
+        return other
 
     def _simple(self, raw, offs):
         """Pre-tokens of each text (start, end) and which texts the byte rules cover."""
@@ -127,6 +151,10 @@ class Encoder:
             h = hash_words(low, starts, ends)
             self._learn(low, starts, ends, h)
             at = np.searchsorted(self.known, h)
+            slow[doc[self._other(low, starts, ends, at)]] = True
+            for word in self.added:
+                found = pc.match_substring(texts.slice(a, b - a), word, ignore_case=True)
+                slow |= found.to_numpy(zero_copy_only=False)
             count = self.count[at]
             total = np.cumsum(count)
             ids = self.ids[np.repeat(self.place[at] - total + count, count) + np.arange(total[-1] if len(total) else 0)]

@@ -88,7 +88,7 @@ def test_jaccard_counts_every_link(docs, rows):
     classes = set(sets.values()) - {frozenset()}
     for percent in (85, 70):
         links = {x: sum(100 * len(x & y) >= percent * len(x | y) for y in classes if y != x) for x in classes}
-        got = {r["doc_id"]: r for r in jaccard_join.near_groups(docs, 4, percent).collect()}
+        got = {r["doc_id"]: r for r in jaccard_join.near_groups(docs, 4, percent, complete=True).collect()}
         assert {i: r["class_links"] for i, r in got.items()} == {i: links.get(x, 0) for i, x in sets.items()}
         tree = {r["doc_id"]: r for r in jaccard_join.near_groups(docs, 4, percent, complete=False).collect()}
         assert {i: r["component_id"] for i, r in got.items()} == {i: r["component_id"] for i, r in tree.items()}
