@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridecast.llm.common import alnum_words, fields, find_words, hash_words, lower_table, text_slices
+from ridecast.session import cut_lineage
 
 BLOCK_BYTES = 1 << 23
 
@@ -203,13 +204,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
     Words: after lower-casing A-Z, runs of digits, a-z and characters beyond ASCII.  A window is ``window`` consecutive
     item words, or a whole shorter item.  Null and empty texts have no words; without items nothing is hit.
     Items: ids of the items with a window in the document, each once, sorted as strings; an item id may repeat.
-    With more than one block of items a doc_id should be unique."""
+    Rows are on their own: repeated and null doc_ids stay apart.  Items of over ``block_bytes`` are scanned for in blocks, a
+    pass over the documents each, whose finds are joined by row."""
     items = fields(items, "item_id", "text").where("item_id is not null and text is not null")
     id_type, doc_type = dict(items.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
     if id_type not in ("bigint", "string"):
         items, id_type = items.withColumn("item_id", F.col("item_id").cast("long")), "bigint"
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(-(-total // block_bytes)) or 1
+    if blocks > 1:                                       # rows get a number that stays the same in every pass
+        docs = cut_lineage(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"))
+                                       .alias("doc_id"), "text"))
+        doc_type = dict(docs.dtypes)["doc_id"]
     parts = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
@@ -219,7 +225,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    flat = (out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"),
+    flat = (out.groupBy("doc_id.row").agg(F.first("doc_id.id").alias("doc_id"), F.max("n_words").alias("n_words"),
                                       F.flatten(F.collect_list("spans")).alias("spans"),
                                       F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
     joined = F.aggregate(
@@ -244,20 +250,21 @@ def n_hit(spans):
 def remove_leaks(docs: DataFrame, items: DataFrame, window: int = 10, min_span: int = 1,
                  max_coverage: float = 0.5) -> DataFrame:
     """``docs`` with every span of at least ``min_span`` words cut out of ``text``, and without the rows of which
-    more than ``max_coverage`` of the words are hit.  Other rows and columns stay as they are.  Rows of one doc_id
-    should have one text."""
-    leaks = (find_leaks(docs, items, window).withColumn("hit", n_hit(F.col("spans"))).where("hit > 0")
-             .select(F.col("doc_id").alias("_doc"), F.filter("spans", lambda s: s["end"] - s["first"] >= min_span)
-                     .alias("_spans"), (F.col("hit") / F.col("n_words")).alias("_share")).dropDuplicates(["_doc"]))
-    raw = F.encode(F.col("text"), "UTF-8")
-    bounds = F.transform("_spans", lambda s, i: F.struct(
-        F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["to_byte"])
+    more than ``max_coverage`` of the words are hit.  Other rows and columns stay as they are; each row is on its own, a
+    null text has no words, an empty table gives an empty one."""
+    # a row travels whole in the place of its id, so that no join is needed and no column can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text").alias("text"))
+    leaks = find_leaks(rows, items, window).withColumn("hit", n_hit(F.col("spans"))).where(
+        "hit = 0 or hit <= %r * n_words" % float(max_coverage))
+    leaks = leaks.select(F.col("doc_id").alias("row"), F.when(F.col("hit") > 0, F.filter(
+        "spans", lambda s: s["end"] - s["first"] >= min_span)).alias("spans"))
+    raw = F.encode(F.col("row.text"), "UTF-8")
+    bounds = F.transform("spans", lambda s, i: F.struct(
+        F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("spans", F.greatest(i, F.lit(1)))["to_byte"])
         .alias("a"), s["from_byte"].alias("b")))
     kept = F.concat(F.array_join(F.transform(bounds, lambda x: F.decode(
         F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "UTF-8")), ""),
-        F.decode(F.substring(raw, (F.element_at("_spans", -1)["to_byte"] + 1).cast("int"), F.octet_length("text")),
+        F.decode(F.substring(raw, (F.element_at("spans", -1)["to_byte"] + 1).cast("int"), F.octet_length("row.text")),
                  "UTF-8"))
-    out = docs.join(leaks, F.col("doc_id") == F.col("_doc"), "left").where(
-        F.col("_share").isNull() | (F.col("_share") <= max_coverage))
-    text = F.when(F.size("_spans") > 0, kept).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.size("spans") > 0, kept).otherwise(F.col("row.text"))
+    return leaks.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
