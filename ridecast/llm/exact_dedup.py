@@ -85,6 +85,20 @@ def exact_groups(docs: DataFrame, capacity: int = 16384) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, capacity: int = 16384) -> DataFrame:
-    """``docs`` without the rows whose text a row with a smaller doc_id has, its columns unchanged."""
-    away = exact_groups(docs, capacity).where("not kept").select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, docs["doc_id"] == away["_away"], "left_anti")
+    """``docs`` with one row of each text, that of the smallest doc_id, its columns unchanged.
+
+    A doc_id may have rows of different texts: each is judged by its own.  Of rows with one doc_id and one text a single one
+    stays.  Null texts count as empty; a null doc_id stays only where its text has no other."""
+    sha = F.sha2(normal_form(F.col("text")), 256)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"),
+                       sha.alias("sha"))
+    found = cut_lineage(exact_groups(docs, capacity).select("doc_id", "kept", "text_sha256", "group_size"))
+    away = found.where("not kept").select(F.col("doc_id").alias("x"), F.col("text_sha256").alias("y")).distinct()
+    again = (found.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("x"), F.col("text_sha256").alias("y"))
+             .agg(F.count("*").alias("n")).where("n > 1").select("x", "y"))
+    same = (F.col("sha") == F.col("y")) & F.col("id").eqNullSafe(F.col("x"))
+    left = rows.join(away, same, "left_anti")
+    # rows that repeat an id and a text: the first of each, combined before the shuffle
+    single = left.join(again, same, "left_semi").groupBy("id", "sha").agg(F.first("row").alias("row")).select("row")
+    return left.join(again, same, "left_anti").select("row").unionByName(single).select(
+        *[F.col(f"row.`{c}`") for c in docs.columns])
