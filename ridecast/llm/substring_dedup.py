@@ -69,14 +69,16 @@ def repeat_notes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(doc_id, whole, places) of each document with repeats: the blocks that a smaller document has too, and the places
     of single windows that one has."""
     docs = fields(docs, "doc_id", "text").where("doc_id is not null")
-    blocks = anchor_blocks(docs, window, anchor)
-    seeds = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = cut_lineage(blocks.join(seeds.select("anchor"), "anchor", "left_semi"))
+    blocks = cut_lineage(anchor_blocks(docs, window, anchor))
+    # what is grouped by a key is written before it is joined by that key: a join of two exchanges can split a hot key
+    seeds = cut_lineage(blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                        .where("lo < hi").select("anchor"))
+    shared = cut_lineage(blocks.join(seeds, "anchor", "left_semi"))
     contexts = cut_lineage(shared.groupBy("anchor", "block").agg(F.min("doc_id").alias("head")))
     settled = (shared.join(contexts, ["anchor", "block"]).where("head < doc_id")
                .groupBy("doc_id").agg(F.collect_set("block").alias("whole")))
     # anchors around which blocks differ: the distinct blocks are compared window by window, each in its first document
-    differ = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    differ = cut_lineage(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     open_ = (contexts.join(differ, "anchor", "left_semi")
              .groupBy(F.col("head").alias("doc_id")).agg(F.collect_set("block").alias("open")))
 
@@ -101,8 +103,9 @@ def repeat_notes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     windows = cut_lineage(docs.join(open_, "doc_id").select("doc_id", "text", "open")
                           .mapInArrow(extend, "doc_id long, window long, place long"))
-    first_in = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    partial = (windows.join(first_in.select("window", "lo"), "window").where("lo < doc_id")
+    first_in = cut_lineage(windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                           .where("lo < hi").select("window", "lo"))
+    partial = (windows.join(first_in, "window").where("lo < doc_id")
                .groupBy("doc_id").agg(F.collect_set("place").alias("places")))
     return settled.join(partial, "doc_id", "full")
 
