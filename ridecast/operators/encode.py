@@ -187,14 +187,16 @@ class SparseOneHot:
         """``df`` with the vector column ``out`` in the place of the fitted columns."""
         from pyspark.ml.feature import VectorAssembler
         rest = [F.col(f"`{c}`") for c in df.columns if c not in self.columns]
-        coded = self.codes.transform(df.select(F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"),
+        row = max([*self.columns, ""], key=len) + "_row"            # no fitted column has this name
+        coded = self.codes.transform(df.select(F.struct(*rest).alias(row) if rest else F.lit(None).alias(row),
                                                *[F.col(f"`{c}`") for c in self.columns]))
         sizes = [max(self.codes.dictionaries[c].size, 1) for c in self.columns]
-        coded = coded.select("rest", *[F.when(F.col(f"`{c}`") < 0, float(n)).otherwise(F.col(f"`{c}`")).cast("double").alias(f"i{k}")
-                                       for k, (c, n) in enumerate(zip(self.columns, sizes))])
+        coded = coded.select(F.col(f"`{row}`").alias("row"), *[
+            F.when(F.col(f"`{c}`") < 0, float(n)).otherwise(F.col(f"`{c}`")).cast("double").alias(f"i{k}")
+            for k, (c, n) in enumerate(zip(self.columns, sizes))])
         parts = [f"v{k}" for k in range(len(sizes))]
         out = VectorAssembler(inputCols=parts, outputCol="vector").transform(self.encoder.transform(coded))
-        return out.select(*[F.col(f"rest.`{c}`") for c in df.columns if c not in self.columns], F.col("vector").alias(self.out))
+        return out.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in self.columns], F.col("vector").alias(self.out))
 
 
 def align_columns(df: DataFrame, columns: list[str], fill=0) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridecast.models.subset import forward_selection
 from ridecast.operators.aggregate import ride_counts
 from ridecast.operators.encode import SparseOneHot
 from ridecast.operators.enrich import band_join
+from ridecast.operators.frames import counts_in_frame
 from ridecast.plans import bindings as B
 from ridecast.plans.registry import query
 from ridecast.plans.relational import _BAND_JOIN_SQL, _spark_weekday_bands, _train_rides
@@ -140,3 +142,41 @@ def q_sparse_one_hot(spark, d):
         F.col("l_returnflag").alias("f"))
     hot = SparseOneHot(["v", "f"]).fit(tickets.where(F.col("l_shipdate") < F.lit(B.SCORE_FROM).cast("timestamp_ntz")))
     return hot.transform(tickets.drop("l_shipdate")).withColumn("features", F.col("features").cast("string"))
+
+
+@query("trips_in_frame", """
+SELECT l_orderkey, l_linenumber, l_returnflag AS travel_from, l_shipdate::DATE AS travel_date,
+    count(*) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate::DATE RANGE BETWEEN INTERVAL 14 DAY PRECEDING
+        AND INTERVAL 1 DAY PRECEDING) AS trips
+FROM lineitem WHERE l_shipdate IS NOT NULL
+""")
+def q_trips_in_frame(spark, d):
+    """Trips from the same origin in the two weeks before each ticket's day."""
+    tickets = load(spark, d, "lineitem").where("l_shipdate is not null").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("travel_from"), F.to_date("l_shipdate").alias("travel_date"))
+    return counts_in_frame(tickets, "travel_from", "travel_date", 14, "trips")
+
+
+@query("feature_search", """
+WITH r AS (
+        SELECT o_totalprice AS y, o_orderkey % 3 AS fold, month(o_orderdate)::DOUBLE AS month, c.n::DOUBLE AS tickets
+        FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) AS c ON l_orderkey = o_orderkey
+        WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL),
+    o AS (SELECT a.fold, r.y, r.month, r.tickets FROM (SELECT DISTINCT fold FROM r) AS a JOIN r ON a.fold <> r.fold),
+    f AS (
+        SELECT fold, avg(y) AS mean, regr_slope(y, month) AS b1, regr_intercept(y, month) AS a1,
+            regr_slope(y, tickets) AS b2, regr_intercept(y, tickets) AS a2 FROM o GROUP BY fold),
+    e AS (
+        SELECT avg((y - mean) ^ 2) AS base, avg((y - a1 - b1 * month) ^ 2) AS by_month, avg((y - a2 - b2 * tickets) ^ 2) AS by_tickets
+        FROM r JOIN f USING (fold))
+SELECT 0 AS step, NULL AS feature, round(base / 1e6, 4) AS cv_mse FROM e
+UNION ALL SELECT 1, CASE WHEN by_month <= by_tickets THEN 'month' ELSE 'tickets' END, round(least(by_month, by_tickets) / 1e6, 4)
+FROM e WHERE least(by_month, by_tickets) < base
+""")
+def q_feature_search(spark, d):
+    """The first feature that forward selection takes, if one beats the mean in cross-validation."""
+    rides = B.labelled_rides(spark, d).join(
+        load(spark, d, "orders").select(F.col("o_orderkey").alias("ride_id"), F.col("o_totalprice").alias("y")), "ride_id")
+    rides = rides.select("y", (F.col("ride_id") % 3).alias("fold"), F.month("travel_date").alias("month"),
+                         F.col("number_of_tickets").alias("tickets"))
+    return forward_selection(rides, ["month", "tickets"], "y", "fold", most=1).withColumn("cv_mse", F.round(F.col("cv_mse") / 1e6, 4))
