@@ -2,7 +2,7 @@
 
 The encoding of a text is the only sequence of vocabulary tokens of which every two neighbours are stable: merging their
 joined bytes by rank gives just these two tokens again.  So the encoding of each prefix ends in one token, found from the
-encodings of shorter prefixes.  A state of the transducer is the last token emitted and the bytes read after it.  A byte
+encodings of shorter prefixes.  A state of the transducer is the last token emitted, while that matters, and the bytes read after it.  A byte
 adds the prefix that it ends; a prefix stays live while the bytes after it begin some token.  Tokens that the encodings of
 all live prefixes share are emitted, so a token leaves as soon as no continuation can change it; nothing looks back
 further.  States and transitions are made when a text first needs them and kept in a table of bounded size.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from ridecast.llm.common import fields
 
 START = -1
+FREE = -2
 NO_RANK = 1 << 62
-STATES = 1 << 18            # states, stable pairs and known pieces a task keeps; a full table is emptied and refilled
+STATES = 1 << 18            # states that a worker keeps, and pairs; a full table is emptied and refilled
+KNOWN = 1 << 17             # pieces that a worker keeps, likewise
 PIECES = 1 << 16            # pieces of a text that are held at a time
 BATCH_BYTES = 4 << 20       # ids or bytes in an Arrow batch, unless one row has more
 
@@ -57,11 +59,11 @@ class Transducer:
         self.tokens = {r: t for t, r in ranks.items()}
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.packed = {r: r.to_bytes(4, "little") for r in self.tokens}
+        self.pairs: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.start = self._state(START, b"", (START,), (0,))
 
     def merge(self, raw: bytes) -> list[int]:
@@ -81,14 +83,18 @@ class Transducer:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether token b may follow token a (or START)."""
-        known = self.pairs.get((a, b))
+        pair = (a << 32) + b                                    # one int: a tuple takes twice the room
+        known = self.pairs.get(pair)
         if known is None:
+            if len(self.pairs) > STATES:
+                self.pairs.clear()
             left = self.tokens[a] if a != START else b""
-            known = self.merge(left + self.tokens[b]) == ([a, b] if a != START else [b])
-            self.pairs[a, b] = known
+            known = self.pairs[pair] = self.merge(left + self.tokens[b]) == ([a, b] if a != START else [b])
         return known
 
     def _state(self, last: int, text: bytes, ends: tuple, live: tuple) -> State:
+        if not live or live[0]:
+            last = FREE                                         # no token can begin at the root any more: all are alike
         found = self.states.get((last, text))
         if found is None:
             found = self.states[last, text] = State(self, last, text, ends, live)
@@ -134,7 +140,7 @@ class Transducer:
 
     def encode(self, piece: bytes) -> bytes:
         """Little-endian 32-bit ids of one piece, in one pass over its bytes."""
-        if len(self.states) + len(self.pairs) > STATES:
+        if len(self.states) > STATES:
             self.clear()
         out = bytearray()
         state = self.start
@@ -157,7 +163,7 @@ class Pieces(dict):
         self.machine = machine
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > STATES:
+        if len(self) > KNOWN:
             self.clear()
         ids = self.machine.encode(piece.encode())
         if len(piece) <= 64:
@@ -245,7 +251,8 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id"
 
     Each row is on its own: null counts as the empty text and gives no ids; repeated rows and null keys stay as they are;
     other columns are left out, whatever their names; an empty table gives an empty one.  A task holds one text, its ids
-    and ``STATES`` states, pairs and pieces at most, so a text of n bytes takes about 10 n bytes beside them."""
+    and ``STATES`` states and pairs and ``KNOWN`` pieces at most (about 200 MB), so a text of n bytes takes about 10 n bytes
+    beside them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rule = known_pieces(vocabulary), regex.compile(pattern)
         for batch in batches:
