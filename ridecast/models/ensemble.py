@@ -1,5 +1,4 @@
-"""Ensembles: seed bagging, out-of-fold predictions, two-level stacking and
-out-of-bag scoring.  Predictions are columns of one keyed DataFrame; models are
+"""Ensembles: seed bagging, out-of-fold predictions and two-level stacking.  Predictions are columns of one keyed DataFrame; models are
 combined by expressions and key joins, never by position."""
 
 from __future__ import annotations
@@ -112,54 +111,3 @@ def stack(level1: dict, level2_fit, train: DataFrame, score: DataFrame, fold: st
     l2_score = assemble(s.drop("features"), meta, "features")
     model = level2_fit(l2_train)
     return _apply(model, l2_score, out)
-
-
-# ---------------------------------------------------------------------------
-# out-of-bag scoring
-# ---------------------------------------------------------------------------
-
-# Cumulative Poisson(1) probabilities P(X <= k), k = 0..7, used
-# to draw bootstrap multiplicities from a uniform hash.
-POISSON1_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898508837822)
-
-
-def poisson_weight(key: str, bag: int, seed: int = 1):
-    """Bootstrap multiplicity ~ Poisson(1) of a row in bag ``bag``, derived
-    from a hash of its key (reproducible, no rand(), no shuffle)."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.lit(bag))
-    u = (F.pmod(h, F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-    expr = None
-    for kk, c in enumerate(POISSON1_CDF):
-        expr = F.when(u <= c, F.lit(kk)) if expr is None else expr.when(u <= c, F.lit(kk))
-    return expr.otherwise(F.lit(len(POISSON1_CDF))).cast("double")
-
-
-def oob_bagging(train: DataFrame, key: str, label: str, bags: int = 10, max_depth: int = 10,
-                min_instances: int = 1, seed: int = 1, features: str = "features",
-                parallelism: int = 4) -> DataFrame:
-    """Bagged regression trees with bootstrap weights; returns the training
-    rows with ``oob_pred`` = mean prediction of the bags that left the row out
-    (null when every bag drew it)."""
-    from pyspark.ml.regression import DecisionTreeRegressor
-    from ridecast.models.estimators import clamp_depth
-    data = train
-    wcols, pcols = [], []
-    for b in range(bags):
-        data = data.withColumn(f"_w{b}", poisson_weight(key, b, seed))
-        wcols.append(f"_w{b}")
-    data = data.persist()
-
-    def fit_bag(b: int):
-        tree = DecisionTreeRegressor(maxDepth=clamp_depth(max_depth), minInstancesPerNode=min_instances,
-                                     weightCol=f"_w{b}", labelCol=label, featuresCol=features,
-                                     predictionCol=f"_p{b}", seed=seed + b)
-        return tree.fit(data.where(F.col(f"_w{b}") > 0))
-
-    models = fit_all([lambda b=b: fit_bag(b) for b in range(bags)], parallelism)
-    for b, m in enumerate(models):
-        data = m.transform(data)
-        pcols.append(f"_p{b}")
-    num = sum((F.when(F.col(w) == 0, F.col(p)).otherwise(0.0) for w, p in zip(wcols, pcols)), F.lit(0.0))
-    den = sum((F.when(F.col(w) == 0, 1).otherwise(0) for w in wcols), F.lit(0))
-    return data.withColumn("oob_pred", F.when(den > 0, num / den)).drop(*wcols, *pcols)

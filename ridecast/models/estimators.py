@@ -2,45 +2,32 @@
 
 The source's learners map onto MLlib as follows (differences noted):
 
-* random forest -> ``RandomForestRegressor``; variance impurity only (an
-  absolute-error split criterion does not exist in MLlib), depth capped at 30;
-* gradient boosting / boosted-tree libraries -> ``GBTRegressor`` (squared or
-  absolute loss) and ``GBTClassifier``;
-* linear / ridge regression -> ``LinearRegression`` with the normal solver;
-* AdaBoost.R2 -> a boosting loop over weighted ``DecisionTreeRegressor``s;
-* extra trees -> trees grown on randomly bucketized features (random cut
-  points per tree), averaged.
-
-All fitting runs as Spark jobs over the partitioned training frame; the driver
-only holds model metadata and per-iteration scalars.
+* random forest by squared error -> ``RandomForestRegressor``, depth capped at 30;
+* gradient boosting -> ``GBTRegressor`` (squared or absolute loss) and ``GBTClassifier``;
+* linear / ridge regression -> ``LinearRegression`` with the normal solver.
+
+Forests by the absolute error, extra trees and second-order boosting are in ``trees``, AdaBoost.R2 over any learner in
+``adaboost``.  All fitting runs as Spark jobs over the partitioned training frame; the driver holds models and scalars.
 """
 
 from __future__ import annotations
 
-import math
-import random
 import warnings
-from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridecast.session import cut_lineage
-
 MAX_DEPTH = 30
 
 
 def clamp_depth(depth) -> int:
     """MLlib trees stop at depth 30; ``None`` (unlimited) and deeper requests map to 30."""
     if depth is None or depth > MAX_DEPTH:
-        if depth is not None:
-            warnings.warn(f"max depth {depth} clamped to {MAX_DEPTH}", stacklevel=2)
+        warnings.warn(f"max depth {'unlimited' if depth is None else depth} becomes {MAX_DEPTH}", stacklevel=2)
         return MAX_DEPTH
     return int(depth)
 
@@ -60,23 +47,13 @@ ROWS_PER_PARTITION = 1_000_000
 MIN_TRAIN_PARTITIONS = 4
 
 
-def size_partitions(df: DataFrame, rows: int, rows_per_partition: int = ROWS_PER_PARTITION,
+def size_partitions(df: DataFrame, rows: int, key: str, rows_per_partition: int = ROWS_PER_PARTITION,
                     min_partitions: int = MIN_TRAIN_PARTITIONS) -> DataFrame:
-    """Partition a training frame by its row count before it is cached: about
-    ``rows_per_partition`` rows per task, and a few tasks at least (measured
-    locally: 2-4 partitions fit a small frame fastest, and leave cores free for
-    the concurrent fits of bagging, folds and search).  AQE does not coalesce
-    inside a cached plan, so a frame coming out of a 200-way shuffle would
-    otherwise run every tree-level job as 200 tiny tasks."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no local SparkContext: leave the partitioning to the session)
-        return df
-    target = max(-(-rows // rows_per_partition), min(min_partitions, cores), 1)
-    if current == target:
-        return df
-    return df.coalesce(target) if current > target else df.repartition(target)
+    """Partition a training frame by its row count and a hash of ``key`` before it is cached: about
+    ``rows_per_partition`` rows per task, and a few tasks at least.  AQE does not coalesce inside a cached plan, so a frame
+    out of a 200-way shuffle would otherwise run every tree level as 200 tiny tasks; and as MLlib draws per partition, the
+    fitted trees must not depend on how many cores a machine has."""
+    return df.repartition(max(-(-rows // rows_per_partition), min_partitions), key)
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -135,151 +112,6 @@ def coefficients_frame(spark, model, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, value double")
 
 
-# ---------------------------------------------------------------------------
-# AdaBoost.R2
-# ---------------------------------------------------------------------------
-
-@dataclass
-class AdaBoostModel:
-    trees: list
-    weights: list
-    prediction: str = "prediction"
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Weighted median of the member predictions (AdaBoost.R2's vote),
-        computed per row with array functions (no Python)."""
-        cols = []
-        out = df
-        for i, t in enumerate(self.trees):
-            out = t.setPredictionCol(f"_ab{i}").transform(out)
-            cols.append(f"_ab{i}")
-        pairs = F.array(*[F.struct(F.col(c).alias("p"), F.lit(float(w)).alias("w"))
-                          for c, w in zip(cols, self.weights)])
-        srt = F.array_sort(pairs, lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0))
-        total = float(sum(self.weights))
-        cum = F.transform(srt, lambda x, i: F.aggregate(F.slice(srt, 1, i + 1), F.lit(0.0),
-                                                        lambda acc, y: acc + y["w"]))
-        idx = F.array_position(F.transform(cum, lambda c: c >= 0.5 * total), True)
-        med = F.element_at(srt, idx.cast("int"))["p"]
-        return out.withColumn(self.prediction, med).drop(*cols)
-
-
-@dataclass
-class AdaBoostR2:
-    """AdaBoost.R2 (linear loss) over depth-limited regression trees.
-
-    Each round is one weighted tree fit plus one aggregation (max error and
-    weighted mean loss); sample weights are a column.  The frame is
-    checkpointed every round so the lineage stays flat."""
-    n_estimators: int = 50
-    learning_rate: float = 1.0
-    max_depth: int = 3
-    seed: int = 1
-    label: str = "label"
-    features: str = "features"
-    trees: list = field(default_factory=list)
-
-    def fit(self, df: DataFrame) -> AdaBoostModel:
-        data = df.select(self.features, self.label).withColumn("_w", F.lit(1.0))
-        n = data.count()
-        data = cut_lineage(data.withColumn("_w", F.lit(1.0 / n)))
-        trees, weights = [], []
-        for i in range(self.n_estimators):
-            tree = DecisionTreeRegressor(maxDepth=clamp_depth(self.max_depth), weightCol="_w", seed=self.seed + i,
-                                         labelCol=self.label, featuresCol=self.features, predictionCol="_p")
-            m = tree.fit(data)
-            scored = m.transform(data).withColumn("_err", F.abs(F.col("_p") - F.col(self.label)))
-            max_err = scored.agg(F.max("_err")).first()[0] or 0.0
-            if max_err <= 0:
-                trees.append(m)
-                weights.append(1.0)
-                break
-            scored = scored.withColumn("_loss", F.col("_err") / max_err)
-            est_err = scored.agg((F.sum(F.col("_w") * F.col("_loss")) / F.sum("_w"))).first()[0]
-            if est_err >= 0.5:
-                if not trees:
-                    trees.append(m)
-                    weights.append(1.0)
-                break
-            beta = est_err / (1.0 - est_err) if est_err > 0 else 1e-10
-            trees.append(m)
-            weights.append(self.learning_rate * math.log(1.0 / beta))
-            upd = F.col("_w") * F.pow(F.lit(beta), (1.0 - F.col("_loss")) * self.learning_rate)
-            data = scored.withColumn("_w", upd).select(self.features, self.label, "_w")
-            tot = data.agg(F.sum("_w")).first()[0]
-            data = cut_lineage(data.withColumn("_w", F.col("_w") / tot))
-        return AdaBoostModel(trees, weights)
-
-
-# ---------------------------------------------------------------------------
-# Extra trees
-# ---------------------------------------------------------------------------
-
-@dataclass
-class ExtraTreesModel:
-    trees: list
-    splits: list
-    inputs: list
-    prediction: str = "prediction"
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        cols = []
-        for t, (tree, sp) in enumerate(zip(self.trees, self.splits)):
-            b_cols = [f"_xb{t}_{j}" for j in range(len(self.inputs))]
-            out = Bucketizer(splitsArray=sp, inputCols=self.inputs, outputCols=b_cols,
-                             handleInvalid="keep").transform(out)
-            out = VectorAssembler(inputCols=b_cols, outputCol=f"_xv{t}").transform(out)
-            out = tree.setFeaturesCol(f"_xv{t}").setPredictionCol(f"_xp{t}").transform(out)
-            out = out.drop(*b_cols, f"_xv{t}")
-            cols.append(f"_xp{t}")
-        mean = sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols)
-        return out.withColumn(self.prediction, mean).drop(*cols)
-
-
-@dataclass
-class ExtraTrees:
-    """Extremely randomized trees, approximated on MLlib: per tree, each
-    feature is cut at ``cuts`` uniformly random points between its min and
-    max, and a regression tree is grown on the bucket ids with a random feature
-    subset; predictions are averaged.  Min / max come from one aggregation."""
-    n_estimators: int = 100
-    max_depth: int = 10
-    max_features: float = 0.5
-    cuts: int = 8
-    seed: int = 1
-    label: str = "label"
-
-    def fit(self, df: DataFrame, inputs: list[str], parallelism: int = 4) -> ExtraTreesModel:
-        from ridecast.models.ensemble import fit_all
-        stats = df.agg(*[F.min(c).alias(f"lo_{c}") for c in inputs],
-                       *[F.max(c).alias(f"hi_{c}") for c in inputs]).first()
-        rng = random.Random(self.seed)
-        splits = []
-        for _ in range(self.n_estimators):
-            sp = []
-            for c in inputs:
-                lo, hi = float(stats[f"lo_{c}"]), float(stats[f"hi_{c}"])
-                pts = sorted({rng.uniform(lo, hi) for _ in range(self.cuts)}) if hi > lo else []
-                sp.append([-math.inf, *pts, math.inf])
-            splits.append(sp)
-        base = df.select(*inputs, self.label)
-        b_cols = [f"_xb{j}" for j in range(len(inputs))]
-
-        def fit_tree(t: int):
-            binned = Bucketizer(splitsArray=splits[t], inputCols=inputs, outputCols=b_cols,
-                                handleInvalid="keep").transform(base)
-            binned = VectorAssembler(inputCols=b_cols, outputCol="_xv").transform(binned)
-            tree = RandomForestRegressor(numTrees=1, bootstrap=False, maxDepth=clamp_depth(self.max_depth),
-                                         featureSubsetStrategy=feature_subset(self.max_features),
-                                         seed=self.seed + t, labelCol=self.label, featuresCol="_xv",
-                                         maxBins=max(32, self.cuts + 2))
-            return tree.fit(binned)
-
-        trees = fit_all([lambda t=t: fit_tree(t) for t in range(self.n_estimators)], parallelism)
-        return ExtraTreesModel(trees, splits, list(inputs))
-
-
 # ---------------------------------------------------------------------------
 # importances
 # ---------------------------------------------------------------------------

@@ -16,17 +16,21 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=(), round_p
                        with_rounded: bool = False) -> DataFrame:
     """MAE, RMSE, sqrt(MAE), explained variance (1 - var_pop(y-p)/var_pop(y)) and R^2.
     With ``round_pred`` the prediction is rounded half-to-even first; with
-    ``with_rounded`` the MAE of the rounded prediction is added (same pass)."""
+    ``with_rounded`` the MAE of the rounded prediction is added (same pass).
+    ``n`` counts the rows that every metric is over: both label and prediction
+    are there; ``n_rows`` counts all rows."""
+    both = F.col(y).isNotNull() & F.col(p).isNotNull()
     pred = F.bround(F.col(p), 0) if round_pred else F.col(p)
-    err = F.col(y) - pred
+    label = F.when(both, F.col(y))
+    err = label - pred
     a = _g(df, by).agg(
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sqrt(F.avg(F.abs(err))).alias("sqrt_mae"),
-        F.var_pop(err).alias("_ve"), F.var_pop(y).alias("_vy"),
-        F.sum(err * err).alias("_sse"), (F.var_pop(y) * F.count(F.col(y))).alias("_sst"),
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(F.col(y) - F.bround(F.col(p), 0))).alias("mae_rounded"),
+        F.var_pop(err).alias("_ve"), F.var_pop(label).alias("_vy"),
+        F.sum(err * err).alias("_sse"), (F.var_pop(label) * F.count(label)).alias("_sst"),
+        F.count(label).alias("n"), F.count(F.lit(1)).alias("n_rows"),
+        F.avg(F.abs(label - F.bround(F.col(p), 0))).alias("mae_rounded"),
     )
     # constant y: explained variance and R^2 are 1 for a perfect fit and 0 otherwise
     ev = F.when(F.col("_vy") == 0, F.when(F.col("_ve") == 0, 1.0).otherwise(0.0)) \
@@ -34,7 +38,7 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=(), round_p
     r2 = F.when(F.col("_sst") == 0, F.when(F.col("_sse") == 0, 1.0).otherwise(0.0)) \
         .otherwise(1 - F.col("_sse") / F.col("_sst"))
     extra = ["mae_rounded"] if with_rounded else []
-    return a.select(*by, "mae", *extra, "rmse", "sqrt_mae", ev.alias("explained_variance"), r2.alias("r2"), "n")
+    return a.select(*by, "mae", *extra, "rmse", "sqrt_mae", ev.alias("explained_variance"), r2.alias("r2"), "n", "n_rows")
 
 
 def mae(df: DataFrame, y: str = "y", p: str = "p", round_pred: bool = False) -> float:

@@ -43,11 +43,9 @@ def forecast(tickets: DataFrame, rides_to_score: DataFrame, spec: RideSpec | Non
     score = rf.transform(rides_to_score)
     feats = [c for c in train.columns if c != label and (key_as_feature or c != spec.ride_id)]
     cached = assemble(train, feats).withColumn("label", F.col(label).cast("double")).persist()
-    train = size_partitions(cached, cached.count())
-    if train is not cached:                               # re-cache at the sized partitioning
-        train = train.persist()
-        train.count()
-        cached.unpersist()
+    train = size_partitions(cached, cached.count(), spec.ride_id).persist()
+    train.count()
+    cached.unpersist()
     score = assemble(score.select(*dict.fromkeys([spec.ride_id, *feats])), feats)
     est = lambda s: random_forest(n_estimators=n_estimators, max_depth=max_depth,
                                   min_samples_leaf=min_samples_leaf,

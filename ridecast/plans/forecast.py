@@ -2,28 +2,31 @@
 label): feature assembly, forests, boosting, AdaBoost, extra trees, bagging,
 stacking, out-of-bag scoring and parameter search.
 
-These have no SQL oracle (model fits); each is checked for schema, row
-count, determinism under fixed seeds and error against a mean predictor in
-tests/.  Tree counts and depths of the registered queries are kept small; the
-library defaults follow the source's settings.
+These have no SQL oracle (model fits on all ride features); the same estimators
+and functions run in ``closed_form`` on features whose results SQL can check.
+Here each is checked for schema, row count and error against a mean predictor.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ridecast.functions.mathx import half_even, threshold_label
-from ridecast.models.ensemble import bag_predict, oob_bagging, stack
+from ridecast.models.adaboost import AdaBoost
+from ridecast.models.ensemble import bag_predict, stack
 from ridecast.models.estimators import (
-    AdaBoostR2, ExtraTrees, assemble, features_as_array, gradient_boosting, gradient_boosting_classifier,
-    importance_table, linear_regression, random_forest, ridge, size_partitions,
+    assemble, features_as_array, gradient_boosting, gradient_boosting_classifier, importance_table, linear_regression,
+    random_forest, ridge, size_partitions,
 )
-from ridecast.models.search import build_grid, cross_validate, rank_results, sample_grid
+from ridecast.models.search import Search, build_grid, cross_validate, rank_results, sample_grid
+from ridecast.models.stacking import StackingTransformer
+from ridecast.models.trees import LevelForest, SecondOrderBoosting
 from ridecast.operators.folds import holdout_split, kfold_ntile
 from ridecast.plans import bindings as B
 from ridecast.plans.registry import query
 from ridecast.plans.rides import RideFeatures, RideSpec
+from ridecast.session import cut_lineage
 from ridecast.sources.tables import load
 
 FEATURES = ["travel_date", "travel_from", "car_type", "month", "week", "is_weekend"]
@@ -46,7 +49,7 @@ def prepared(spark: SparkSession, d: str, folds: int | None = None):
     train = assemble(train, FEATURES).withColumn("label", F.col(LABEL).cast("double"))
     if folds:
         train = kfold_ntile(train, "ride_id", k=folds)
-    train = size_partitions(train, rows).persist()      # last step before caching: folds re-read a table
+    train = size_partitions(train, rows, "ride_id").persist()      # last step before caching: folds re-read a table
     train.count()                                        # fill the cache, then drop the ride cache
     cached.unpersist()
     return train, assemble(score, FEATURES)
@@ -59,7 +62,9 @@ def _r6(c):
 @query("assemble", covers=("PRJ-9",))
 def q_assemble(spark, d):
     train, _ = prepared(spark, d)
-    return features_as_array(train.select("ride_id", "label", "features"))
+    out = cut_lineage(features_as_array(train.select("ride_id", "label", "features")))
+    train.unpersist()
+    return out
 
 
 @query("rf_forecast", covers=("EST-1", "ENS-1", "PRJ-13", "MTH-1", "SNK-1"))
@@ -83,7 +88,7 @@ def q_bag_average(spark, d):
     return pred.select("ride_id", *[_r6(F.col(c)).alias(c) for c in ("p_bag0", "p_bag1", "p_bag2", "prediction")])
 
 
-@query("gbt_forecast", covers=("EST-2", "EST-3"))
+@query("gbt_forecast", covers=("EST-2",))
 def q_gbt_forecast(spark, d):
     train, score = prepared(spark, d)
     m = gradient_boosting(n_estimators=20, learning_rate=0.1, max_depth=5, subsample=0.5, seed=1).fit(train)
@@ -139,18 +144,50 @@ def q_ridge_coeffs(spark, d):
                                  "slope double, intercept double")
 
 
+def mae_forest(seed: int = 1, trees: int = 100) -> LevelForest:
+    """The source's main model: absolute error, depth 10, nine rows to split, a least decrease of 0.0005."""
+    return LevelForest(numTrees=trees, criterion="absolute", maxDepth=10, minSplit=9.0, minDecrease=0.0005, seed=seed,
+                       keyCol="ride_id")
+
+
+@query("mae_forest_forecast", covers=("EST-1", "ENS-1", "PRJ-13", "MTH-1"))
+def q_mae_forest_forecast(spark, d):
+    """The forecast of the absolute-error forest on all ride features, rounded half to even."""
+    train, score = prepared(spark, d)
+    model = mae_forest().fit(train)
+    train.unpersist()
+    return model.transform(score).select("ride_id", half_even("prediction").alias("number_of_ticket"))
+
+
+@query("second_order_forecast", covers=("EST-3",))
+def q_second_order_forecast(spark, d):
+    """Second-order boosting with row and column samples and a least child weight, on all ride features."""
+    train, score = prepared(spark, d)
+    model = SecondOrderBoosting(numRounds=6, stepSize=0.3, maxDepth=4, minChildWeight=4.0, subsample=0.8, columnSample=0.8,
+                                seed=1, keyCol="ride_id").fit(train)
+    train.unpersist()
+    return model.transform(score).select("ride_id", _r6(F.col("prediction")).alias("prediction"))
+
+
 @query("adaboost_r2", covers=("EST-8",))
 def q_adaboost_r2(spark, d):
+    """AdaBoost.R2 over extra trees, rows drawn by their weights."""
     train, score = prepared(spark, d)
-    model = AdaBoostR2(n_estimators=5, learning_rate=0.05, max_depth=4, seed=1).fit(train)
+    model = AdaBoost(base=extra_trees(10, 4), numRounds=3, learningRate=0.05, keyCol="ride_id").fit(train)
     train.unpersist()                                    # models fitted; output reads score only
     return model.transform(score).select("ride_id", _r6(F.col("prediction")).alias("prediction"))
 
 
+def extra_trees(trees: int, depth: int, criterion: str = "squared") -> LevelForest:
+    return LevelForest(numTrees=trees, maxDepth=depth, criterion=criterion, splitter="random", bootstrap=False, maxFeatures=0.5,
+                       keyCol="ride_id")
+
+
 @query("extra_trees", covers=("EST-9",))
 def q_extra_trees(spark, d):
+    """120 extra trees by the absolute error, grown together."""
     train, score = prepared(spark, d)
-    model = ExtraTrees(n_estimators=8, max_depth=8, max_features=0.5, seed=1).fit(train, FEATURES)
+    model = extra_trees(120, 10, "absolute").fit(train)
     train.unpersist()                                    # models fitted; output reads score only
     return model.transform(score).select("ride_id", _r6(F.col("prediction")).alias("prediction"))
 
@@ -187,20 +224,31 @@ def q_stack_two_level(spark, d):
 
 @query("stack_transform", covers=("ENS-4",))
 def q_stack_transform(spark, d):
-    train, score = prepared(spark, d, folds=5)
-    pred = stack({"rf": _rf_fit(10, 6), "gbt": _gbt_fit(10, 4)},
-                 lambda df: gradient_boosting(n_estimators=10, max_depth=3, seed=1).fit(df),
-                 train, score, "fold", 5, FEATURES, restack=False)
+    """Extra trees, a forest and boosted trees under a stacking transformer with shuffled, stratified folds, and boosted
+    trees on their out-of-fold predictions."""
+    train, score = prepared(spark, d)
+    learners = {"et": extra_trees(20, 4), "rf": random_forest(n_estimators=10, max_depth=6, seed=1),
+                "gbt": gradient_boosting(n_estimators=10, max_depth=4, subsample=0.5, seed=1)}
+    stacked = StackingTransformer(learners, folds=5, strata=5, seed=0, key="ride_id").fit(train)
+    names = [f"oof_{n}" for n in learners]
+    level2 = assemble(stacked.transform_train(train).drop("features"), names).persist()
+    model = gradient_boosting(n_estimators=10, max_depth=3, seed=1).fit(level2)
+    level2.unpersist()
     train.unpersist()
-    return pred.select("ride_id", _r6(F.col("prediction")).alias("prediction"))
+    out = model.transform(assemble(stacked.transform(score).drop("features"), names))
+    return out.select("ride_id", _r6(F.col("prediction")).alias("prediction"))
 
 
 @query("oob_mae", covers=("ENS-5",))
 def q_oob_mae(spark, d):
+    """Out-of-bag error of the absolute-error forest: each ride is judged by the trees that did not draw it."""
     train, _ = prepared(spark, d)
-    oob = oob_bagging(train, "ride_id", "label", bags=5, max_depth=8, seed=1)
-    return oob.agg(_r6(F.avg(F.abs(F.col("label") - F.col("oob_pred")))).alias("oob_mae"),
-                   F.count("oob_pred").alias("n_oob"), F.count(F.lit(1)).alias("n"))
+    forest = mae_forest(trees=20)
+    oob = forest.fit(train).out_of_bag(train, forest.sample(train))
+    out = cut_lineage(oob.agg(_r6(F.avg(F.abs(F.col("label") - F.col("oob_pred")))).alias("oob_mae"),
+                              F.count("oob_pred").alias("n_oob"), F.count(F.lit(1)).alias("n")))
+    train.unpersist()
+    return out
 
 
 @query("rf_holdout", covers=("SPL-1", "MET-1"))
@@ -213,9 +261,12 @@ def q_rf_holdout(spark, d):
     m = random_forest(n_estimators=20, max_depth=8, seed=1).fit(fit_part)
     mean = fit_part.agg(F.avg("label").alias("_mean"))
     scored = m.transform(test_part).crossJoin(F.broadcast(mean))
-    return scored.agg(_r6(F.avg(F.abs(F.col("label") - half_even("prediction")))).alias("mae"),
-                      _r6(F.avg(F.abs(F.col("label") - F.col("_mean")))).alias("baseline_mae"),
-                      F.count(F.lit(1)).alias("n"))
+    out = cut_lineage(scored.agg(_r6(F.avg(F.abs(F.col("label") - half_even("prediction")))).alias("mae"),
+                                 _r6(F.avg(F.abs(F.col("label") - F.col("_mean")))).alias("baseline_mae"),
+                                 F.count(F.lit(1)).alias("n")))
+    split.unpersist()
+    train.unpersist()
+    return out
 
 
 @query("grid_search", covers=("SEL-1", "SEL-5"))
@@ -224,20 +275,32 @@ def q_grid_search(spark, d):
     est = random_forest(seed=1)
     maps = build_grid(est, {"numTrees": [10, 20], "maxDepth": [4, 8]})
     res = cross_validate(spark, est, maps, train, "fold", 3, learner="random_forest", parallelism=4)
+    train.unpersist()
     return rank_results(res).withColumn("mean_mae", _r6(F.col("mean_mae")))
 
 
-@query("random_search", covers=("SEL-2", "SEL-3"))
+@query("random_search", covers=("SEL-2", "SEL-3", "SEL-5"))
 def q_random_search(spark, d):
-    """Random search over two base learners; one score row per candidate."""
+    """Random search over the base learner that AdaBoost boosts, extra trees or ridge, beside its rounds and rate."""
     train, _ = prepared(spark, d, folds=3)
-    gbt = gradient_boosting(seed=1)
-    rf = random_forest(seed=1)
-    g_maps = sample_grid(gbt, {"maxIter": [5, 10, 20], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]}, 2, seed=1)
-    r_maps = sample_grid(rf, {"numTrees": [10, 20, 40], "maxDepth": [4, 6, 8]}, 2, seed=1)
-    res = cross_validate(spark, gbt, g_maps, train, "fold", 3, learner="gradient_boosting", parallelism=4) \
-        .unionByName(cross_validate(spark, rf, r_maps, train, "fold", 3, learner="random_forest", parallelism=4))
-    return rank_results(res).withColumn("mean_mae", _r6(F.col("mean_mae")))
+    boost = AdaBoost(keyCol="ride_id")
+    grid = {"base": [extra_trees(5, 3), linear_regression().copy().setRegParam(0.1)], "numRounds": [1, 2],
+            "learningRate": [0.05, 0.2, 0.5]}
+    found = Search([("adaboost", boost, sample_grid(boost, grid, 4, seed=1))], k=3).fit(train)
+    train.unpersist()
+    return found.scores(spark).withColumn("mean_mae", _r6(F.col("mean_mae")))
+
+
+@query("search_winner", covers=("SEL-1", "SEL-5"))
+def q_search_winner(spark, d):
+    """The forecast of a search's winner over two kinds of trees, fitted once to all rides."""
+    train, score = prepared(spark, d, folds=3)
+    forest, boost = extra_trees(10, 4), SecondOrderBoosting(numRounds=3, stepSize=0.5, maxDepth=2, keyCol="ride_id")
+    found = Search([("extra_trees", forest, build_grid(forest, {"maxDepth": [2, 4]})),
+                    ("boosting", boost, build_grid(boost, {"minChildWeight": [1.0]}))], k=3).fit(train)
+    train.unpersist()
+    return found.transform(score).select("ride_id", F.lit(found.best_learner).alias("learner"),
+                                         _r6(F.col("prediction")).alias("prediction"))
 
 
 @query("random_search_ev", covers=("SEL-2", "MET-4"))
