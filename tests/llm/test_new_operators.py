@@ -342,3 +342,105 @@ def test_lines_go_beside_any_column(spark):
     assert left.columns == docs.columns
     assert {r.doc_id: r.text for r in left.collect()} == {1: "the same long line of words here\nalone", 2: ""}
     assert line_dedup.drop_lines(docs.where("doc_id > 99")).count() == 0
+
+
+# --- the class bigram and the language filters in plain Python -------------------------------------------------------------
+
+def test_brown_scores_equal_plain_python(spark):
+    import math
+    rng = random.Random(21)
+    vocab = [f"{a}{b}" for a in "klmnp" for b in ("ora", "ing", "eth", "u")]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))                                      # noqa: E731
+    train = [say(rng.randint(0, 30)) for _ in range(60)] + [None, "", "Kora KORA kora"]
+    test = [say(rng.randint(0, 20)) for _ in range(20)] + [None, "", "unseen words here", "kora unseen kora"]
+    model = brown_lm.fit(table(spark, list(enumerate(train))), classes=6, exchanges=3, unit_share=1e-9)
+
+    def tokens(text):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()), None]
+
+    def class_of(word):
+        if word is None:
+            return 0
+        raw = np.frombuffer(word.encode(), np.uint8)
+        h, group, _ = brown_lm._tokens(raw, np.array([0, len(raw)]))
+        return int(model.classes[brown_lm._units(model.units, h, group)][0])
+
+    of = {w: class_of(w) for t in (*train, *test) for w in tokens(t)}
+    counts = Counter(w for t in train for w in tokens(t))
+    follow = Counter()
+    for t in train:
+        before = 0
+        for w in tokens(t):
+            follow[before, of[w]] += 1
+            before = of[w]
+    mass = Counter()
+    for w, n in counts.items():
+        mass[of[w]] += n
+    kinds = Counter(of[w] for w in counts)
+    total, k, prior = sum(counts.values()), 6, 10.0
+    share = {c: (mass[c] + 1) / (total + k) for c in range(k)}
+
+    def logp(text):
+        out, before = 0.0, 0
+        for w in tokens(text):
+            c = of[w]
+            out += math.log10((follow[before, c] + prior * share[c]) / (sum(follow[before, x] for x in range(k)) + prior))
+            out += math.log10((counts[w] + model.add) / (mass[c] + model.add * (kinds[c] + 1)))
+            before = c
+        return out
+
+    rows = brown_lm.score(table(spark, list(enumerate(test))), model).collect()
+    assert len(rows) == len(test)
+    for r in rows:
+        own = tokens(test[r.doc_id])
+        assert r.score == pytest.approx(logp(test[r.doc_id]), rel=1e-9)
+        assert (r.n_tokens, r.n_known) == (len(own), sum(w in counts for w in own))
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in own))
+    # after any word the known words and one unknown word of each class share the whole probability
+    for before in range(k):
+        whole = sum(10 ** (model.step[before, c] - model.spread[c]) * (
+            sum(n + model.add for w, n in counts.items() if of[w] == c) + model.add) for c in range(k))
+        assert whole == pytest.approx(1)
+
+
+def test_language_filters_equal_plain_python(spark):
+    from ridecast.llm import lang_id
+    rng = random.Random(22)
+    words = {"en": ["the", "of", "and", "Ship", "shore"], "de": ["der", "und", "Schiff", "für", "die"], "ru": ["и", "корабль", "море"]}
+    docs = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 40))), lang)
+            for i, lang in enumerate(rng.choice(list(words)) for _ in range(80))] + [(900, None, "en"), (901, "xx", None)]
+    slots, share, contrast = 512, 0.004, 0.02
+    f = lang_id.fit(table(spark, docs, "doc_id long, text string, lang string"), min_share=share, slots=slots, contrast=contrast)
+
+    def grams(text):
+        raw = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()) + b" "
+        raw = re.sub(b" +", b" ", raw)
+        return [int.from_bytes(raw[i:i + 4], "little") for i in range(len(raw) - 3)]
+
+    counts = {lang: Counter(g for _, t, x in docs if x == lang and t is not None for g in grams(t)) for lang in words}
+    part = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {g: max(p.get(g, 0) for p in part.values()) for p in part.values() for g in p}
+    own = {lang: {g for g, s in p.items() if s >= share and s >= top[g] * contrast} for lang, p in part.items()}
+    assert f.langs == sorted(words)
+
+    def places(g):
+        return [int(lang_id._slots(np.array([g]), k, slots)[0]) for k in range(f.probes)]
+
+    bits = {lang: {s for g in own[lang] for s in places(g)} for lang in words}
+    for i, lang in enumerate(f.langs):
+        assert {s for s in range(slots) if int(f.masks[0][s]) >> i & 1} == bits[lang]
+        assert f.false_rate[i] == pytest.approx((len(bits[lang]) / slots) ** f.probes)
+    texts = [t for _, t, _ in docs[:30]] + ["Ship море der", "zzz qqq", "12 34", "", None, "a"]
+    got = lang_id.predict(table(spark, list(enumerate(texts))), f).collect()
+    for r in got:
+        g = grams(texts[r.doc_id])
+        shares = []
+        for lang, rate in zip(f.langs, f.false_rate):
+            hit = sum(all(s in bits[lang] for s in places(x)) for x in g) / max(len(g), 1)
+            shares.append(min(max((hit - rate) / (1 - rate), 0), 1))
+        if not re.search(r"[^\W\d_]", texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            assert r.score == pytest.approx(max(shares))
+            if max(shares):
+                assert r.lang_pred == f.langs[int(np.argmax(shares))]
