@@ -11,6 +11,7 @@ further.  States and transitions are made when a text first needs them and kept
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -64,6 +65,7 @@ class Transducer:
 
     def clear(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
+        gc.collect()                                            # states point at each other
         self.start = self._state(START, b"", (START,), (0,))
 
     def merge(self, raw: bytes) -> list[int]:
@@ -211,6 +213,7 @@ class Utf8Machine:
 @lru_cache(maxsize=2)
 def known_pieces(vocabulary: bytes) -> Pieces:
     """The transducer of a rank file, kept for the next tasks of the same Python worker."""
+    gc.set_threshold(100_000, 50, 50)                       # its tables are hundreds of thousands of live objects
     return Pieces(Transducer(read_ranks(vocabulary)))
 
 
@@ -225,7 +228,7 @@ def encode_text(text: str, pattern: regex.Pattern, known: Pieces) -> bytes:
     return b"".join(out)
 
 
-def decode_ids(ids: np.ndarray, tokens: list[bytes]) -> str:
+def decode_ids(ids: np.ndarray, tokens: list[bytes] | dict[int, bytes]) -> str:
     """The text of a row of ids, block by block."""
     machine, out = Utf8Machine(), []
     for a in range(0, len(ids), PIECES):
@@ -239,11 +242,6 @@ def _rows(batch: pa.RecordBatch, column: int) -> Iterator:
         yield value.as_py()
 
 
-def _file(df: DataFrame, path: str) -> bytes:
-    """The vocabulary's bytes, read through Spark, so that any store will do (one file of about 1 MB)."""
-    return bytes(df.sparkSession.read.format("binaryFile").load(path).first()["content"])
-
-
 def encode(docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", column: str = "text",
            packed: bool = False) -> DataFrame:
     """(key, n_tokens, ids) per row of ``docs``; ``ids`` is an array of ints, or with ``packed`` little-endian unsigned
@@ -306,9 +304,29 @@ def decode(rows: DataFrame, vocabulary: bytes, key: str = "doc_id", column: str
     return frame.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
+def round_trip(docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, decoded) per row of ``docs``: packed ids as of ``encode`` and the text that they decode to, in
+    one pass, so that a worker has one set of tables.  Odd rows as in ``encode``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rule = known_pieces(vocabulary), regex.compile(pattern)
+        for batch in batches:
+            first, ids, texts, size = 0, [], [], 0
+            for i, text in enumerate(_rows(batch, 1)):
+                ids.append(encode_text(text or "", rule, known))
+                texts.append(decode_ids(np.frombuffer(ids[-1], "<u4"), known.machine.tokens))
+                size += len(ids[-1])
+                if size > BATCH_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[first:i + 1], pa.array([len(x) // 4 for x in ids], pa.int64()),
+                         pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["key", "n_tokens", "ids", "decoded"])
+                    first, ids, texts, size = i + 1, [], [], 0
+
+    rows = fields(docs, key, column).toDF("key", "text")
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids binary, decoded string").withColumnRenamed("key", key)
+
+
 def digest(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of a round trip, row by row."""
-    ids = encode(docs, vocabulary, pattern, packed=True)
-    # the ids travel on beside the key, so that one pass decodes what it has just encoded
-    pair = ids.select(F.struct("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")).alias("doc_id"), "ids")
-    return decode(pair, vocabulary).select("doc_id.*", F.sha2("text", 256).alias("decoded_sha256"))
+    return round_trip(docs, vocabulary, pattern).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
