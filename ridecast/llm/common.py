@@ -109,21 +109,31 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def window_levels(h: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of every 1, 2, 4, … consecutive word hashes, as far as windows of ``most`` words need them."""
+    out, size = [h], 1
+    while 2 * size <= most:
+        out.append(mix64(mix64(out[-1][:-size] * OTHER + ODD) + out[-1][size:]))
+        size *= 2
+    return out
+
+
+def hash_windows_at(levels: list[np.ndarray], k: int, at: np.ndarray) -> np.ndarray:
+    """Hash of the k words from each of the places ``at`` on, mixed from the windows whose sizes k is the sum of."""
+    out, done = np.full(len(at), np.uint64(k)), 0
+    for i, level in enumerate(levels):
+        if k >> i & 1:
+            out = mix64((out ^ level[at + done]) * ODD + OTHER)
+            done += 1 << i
+    return out
+
+
 def hash_windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive word hashes (windows may cross texts: the caller drops those).  Windows of 1, 2, 4, …
-    words are mixed from two halves, and those of k words from the ones that k is the sum of."""
+    """Hash of every k consecutive word hashes (windows may cross texts: the caller drops those)."""
     n = len(h) - k + 1
     if n <= 0 or k < 1:
         return np.empty(0, np.uint64)
-    out, done, size, level = np.full(n, np.uint64(k)), 0, 1, h
-    while True:
-        if k & size:
-            out = mix64((out ^ level[done:done + n]) * ODD + OTHER)
-            done += size
-        if 2 * size > k:
-            return out
-        level = mix64(mix64(level[:-size] * OTHER + ODD) + level[size:])
-        size *= 2
+    return hash_windows_at(window_levels(h, k), k, np.arange(n))
 
 
 def owners(first: np.ndarray) -> np.ndarray:

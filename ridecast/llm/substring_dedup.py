@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridecast.llm.common import (fields, find_words, hash_windows, hash_words, owners, runs, space_words, text_slices)
+from ridecast.llm.common import (fields, find_words, hash_windows, hash_windows_at, hash_words, owners, runs, space_words,
+                                 text_slices, window_levels)
 from ridecast.session import cut_lineage
 
 
@@ -45,9 +46,10 @@ def _blocks(h: np.ndarray, first: np.ndarray, window: int, anchor: int):
     stop[:-1] &= (low[1:] != low[:-1]) | ~inside[1:]
     count = np.flatnonzero(stop) + 1 - at
     block = np.zeros(len(at), np.uint64)
+    levels = window_levels(h, min(window + int(count.max(initial=1)) - 1, n))
     for c in np.unique(count):                           # at most span lengths
         own = np.flatnonzero(count == c)
-        block[own] = hash_windows(h, window + int(c) - 1)[at[own]] + np.uint64(c)
+        block[own] = hash_windows_at(levels, window + int(c) - 1, at[own]) + np.uint64(c)
     return doc[at], at, count, seeds[low[at]], block
 
 
