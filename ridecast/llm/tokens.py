@@ -19,7 +19,8 @@ from ridecast.llm.common import hash_words, lower_table, text_slices
 
 LETTER, DIGIT, OTHER, SPACE, BAD = 1, 2, 3, 0, 4
 KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
+COMPARED = 1 << 15          # pre-tokens whose bytes are compared at a time
 
 
 def _classes() -> np.ndarray:
@@ -110,10 +111,12 @@ class Encoder:
         """Which pre-tokens only share their hash with the known ones ``at``: their bytes differ."""
         size = ends - starts
         other = size != self.size[at]
-        same = np.flatnonzero(~other)
-        n = size[same]
-        differ = raw[flat(starts[same], n)] != self.bytes[flat(self.begin[at[same]], n)]
-        other[same[np.repeat(np.arange(len(same)), n)[differ]]] = True
+        for a in range(0, len(at), COMPARED):
+            same = a + np.flatnonzero(~other[a:a + COMPARED])
+            n = size[same]
+            differ = raw[flat(starts[same], n)] != self.bytes[flat(self.begin[at[same]], n)]
+            if differ.any():
+                other[same[np.repeat(np.arange(len(same)), n)[differ]]] = True
         return other
 
     def _simple(self, raw, offs):
