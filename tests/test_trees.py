@@ -181,3 +181,83 @@ def test_stacking_transformer(spark, data, tmp_path):
     show = lambda d: sorted((r.id, r.oof_et, r.oof_line) for r in d.collect())                     # noqa: E731
     assert show(again.transform_train(df)) == show(oof)
     assert show(again.transform(df)) == show(model.transform(df)) != show(oof)
+
+
+# --- rows of equal features and label are one row ---------------------------
+
+def test_levels_read_different_rows_only(spark, monkeypatch):
+    from ridecast.models import trees
+    read, own = [], trees.grow
+    monkeypatch.setattr(trees, "grow", lambda rows, *more: read.append(rows.count()) or own(rows, *more))
+    rng = np.random.default_rng(5)
+    x = np.c_[rng.integers(0, 3, 4000), rng.integers(0, 2, 4000), np.zeros(4000)].astype(float)
+    y = x[:, 0] + x[:, 1]
+    df = frame(spark, x, y)
+    for model in (LevelForest(numTrees=3, maxDepth=2, keyCol="id"), SecondOrderBoosting(numRounds=2, maxDepth=2, keyCol="id"),
+                  SecondOrderBoosting(numRounds=2, maxDepth=2, subsample=0.5, keyCol="id")):
+        fitted = model.fit(df)
+        assert max(read) == 6                               # of 4000
+        read.clear()
+        assert fitted.trees[0].weight[0] > 1000
+
+
+def test_merge_rows_sums(spark, monkeypatch):
+    from ridecast.models import trees
+    nan = float("nan")
+    rows = [([0.0, nan], 1.0, [1, 0]), ([-0.0, nan], 1.0, [2, 5]), ([0.0, 2.0], 1.0, [40000, 1]), ([0.0, 2.0], 2.0, [0, 0])] * 50
+    df = spark.createDataFrame(rows, "x array<double>, y double, w array<int>").repartition(3)
+    for most in (1 << 22, 8):                               # also when tasks pass on what they hold at once
+        monkeypatch.setattr(trees, "MERGED", most)
+        got = {}
+        for r in trees.merge_rows(df).collect():
+            k = str(r.x), r.y
+            n, w = got.get(k, (0, [0, 0]))
+            got[k] = n + r.n, [a + b for a, b in zip(w, r.w)]
+        assert got == {("[0.0, nan]", 1.0): (100, [150, 250]), ("[0.0, 2.0]", 1.0): (50, [2_000_000, 50]),
+                       ("[0.0, 2.0]", 2.0): (50, [0, 0])}
+
+
+def test_many_draws_of_one_row(spark):
+    """More draws than 16 bits hold."""
+    df = frame(spark, np.array([[0.0, 0, 0], [0.0, 0, 0]]), np.array([1.0, 4.0])).withColumn(
+        "w", F.array(F.when(F.col("label") == 1, 50_000).otherwise(100_000)))
+    model = LevelForest(numTrees=1, maxDepth=1, keyCol="id", weightsArrayCol="w").fit(df)
+    assert model.trees[0].weight[0] == 150_000 and model.trees[0].value[0] == pytest.approx(3.0)
+
+
+def test_quantile_cuts_count_repeated_rows(spark):
+    rows = [(0.0, 900)] + [(float(i), 1) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "v double, n long")
+    cuts, _ = bin_edges(df, {"v": F.col("v")}, 10, F.col("n"))["v"]
+    plain, _ = bin_edges(df.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))),
+                         {"v": F.col("v")}, 10)["v"]
+    assert len(cuts) == len(plain) <= 3                     # nine of ten values are 0
+
+
+def test_poisson_quantiles(spark):
+    from ridecast.models.trees import poisson
+
+    def plain(u, mean, most=200):
+        n, p = 0, np.exp(-mean)
+        c = p
+        for i in range(1, most + 1):
+            if c < u:
+                n, p = n + 1, p * mean / i
+                c += p
+        return n
+
+    rng = np.random.default_rng(2)
+    rows = [(float(u), float(m)) for u, m in zip(rng.random(500), np.r_[rng.random(250) * 3, rng.random(240) * 100, [0.0] * 10])]
+    df = spark.createDataFrame(rows, "u double, m double")
+    made = df.select("u", "m", poisson(F.col("u"), F.col("m")).alias("n"))
+    assert [r.n for r in made.collect()] == [plain(u, m) for u, m in rows]
+    assert "sequence" not in made._jdf.queryExecution().toString()      # no 200 interpreted steps a row
+
+
+def test_stacked_models_share_a_worker(spark, data):
+    """Sums of several models run in one Python step, so that a task has one worker however many models there are."""
+    df, x, y = data
+    learners = {"a": LevelForest(numTrees=2, maxDepth=2, keyCol="id"), "b": LevelForest(numTrees=2, maxDepth=1, keyCol="id")}
+    stacked = StackingTransformer(learners, folds=2, strata=1, key="id").fit(df)
+    plan = stacked.transform(df)._jdf.queryExecution().executedPlan().toString()
+    assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 1
