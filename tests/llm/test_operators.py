@@ -387,3 +387,12 @@ def test_pipeline(spark, tmp_path):
     kept = {r["doc_id"] for r in P.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert kept & {1, 2, 3} == set() and 4 in kept and not kept & {5, 6, 9, 45}
     assert set(range(50, 70)) <= kept
+
+
+def test_jaccard_query_counts_every_link(spark, docs, tmp_path):
+    """The registered query leaves no link between different texts out."""
+    from ridecast.llm.queries import QUERIES
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    links = {r["doc_id"]: r["class_links"] for r in jaccard_join.near_groups(docs, 4, 85, complete=True).collect()}
+    got = {r["doc_id"]: r["class_links"] for r in QUERIES["op8_jaccard_join"](spark, str(tmp_path)).collect()}
+    assert got == links and max(links.values()) > 0
