@@ -217,6 +217,26 @@ def test_merge_rows_sums(spark, monkeypatch):
                        ("[0.0, 2.0]", 2.0): (50, [0, 0])}
 
 
+def test_rows_carry_one_number_until_merged(data, monkeypatch):
+    """Draws are made where rows are merged, the same as by column; extra trees have one weight for all trees."""
+    from ridecast.models import trees
+    df, _, _ = data
+    seen, merge = [], trees.merge_rows
+
+    def recorded(rows, *more):
+        seen.append(rows.agg(F.max(F.size("w"))).first()[0])
+        return merge(rows, *more)
+
+    forest = LevelForest(numTrees=7, maxDepth=3, keyCol="id", seed=5)
+    by_column = LevelForest(numTrees=7, maxDepth=3, keyCol="id", seed=5, weightsArrayCol="w").fit(df.withColumn("w", forest.sample(df)))
+    monkeypatch.setattr(trees, "merge_rows", recorded)
+    assert [t.__dict__ for t in forest.fit(df).trees] == [t.__dict__ for t in by_column.trees]
+    extra = LevelForest(numTrees=7, maxDepth=3, keyCol="id", splitter="random", bootstrap=False, minDecrease=0.01).fit(df)
+    assert seen == [1, 1] and {t.weight[0] for t in extra.trees} == {300}
+    hashes = df.select(F.xxhash64(F.col("id").cast("string"), F.lit(5)).alias("h"), forest.sample(df).alias("w")).collect()
+    assert trees.bootstrap_draws(7)(np.array([r.h for r in hashes])).tolist() == [list(r.w) for r in hashes]
+
+
 def test_many_draws_of_one_row(spark):
     """More draws than 16 bits hold."""
     df = frame(spark, np.array([[0.0, 0, 0], [0.0, 0, 0]]), np.array([1.0, 4.0])).withColumn(
