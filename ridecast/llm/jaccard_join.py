@@ -10,6 +10,8 @@
    A tile compares the bitmaps of classes of different components: the popcount of the exclusive or bounds the
    symmetric difference from below, so the overlap from above.
 5. What passes is decided by the exact intersection of the two sorted arrays.
+6. Links lie inside components.  To count them all, the classes of a component are dealt to tiles of two blocks, and a tile
+   gives each class the number of its links there: no pair leaves the task that compares it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from ridecast.session import cut_lineage
 
 LEAST_BITS = 256
 TILE_ROWS = 512
+LINK_ROWS, LINK_VALUES, LINK_COLUMNS = 1024, 1 << 21, 4096
 FREQUENT_PARTS = 1 << 21
 COUNTED = 3 << 20
 BROADCAST_IDS = 1 << 20
@@ -313,11 +316,10 @@ def _with_end(batches):
     yield None
 
 
-def jaccard_links(classes: DataFrame, docs: DataFrame, size: int, percent: int,
-                  complete: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(links, components) between set classes (doc_id, n, bits, prefix): with ``complete``, links are all pairs (a, b), a < b,
-    of classes that link.  Otherwise links already implied by a component are left out, so that a group of near copies costs
-    a tree, not all pairs; the components are the same."""
+def jaccard_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) between set classes (doc_id, n, bits, prefix): links are pairs (a, b), a < b, of classes that link
+    and connect every component.  Links already implied by a component are left out, so that a group of near copies costs a
+    tree, not all pairs; ``count_links`` counts all."""
     rows = classes.select("doc_id", "n", F.explode("prefix").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     buckets = cut_lineage(rows.join(shared.select("key", "hub"), "key"))
@@ -326,21 +328,94 @@ def jaccard_links(classes: DataFrame, docs: DataFrame, size: int, percent: int,
     comp = components(links)
     named = (buckets.join(comp, F.col("doc_id") == F.col("node"), "left")
              .select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
-    if complete:                                         # every class is its own component until all pairs are compared
-        left = buckets.select("key", "doc_id", "n", F.col("doc_id").alias("comp"))
-    else:
-        open_keys = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                     .where("lo < hi").select("key"))
-        left = cut_lineage(named.join(open_keys, "key", "left_semi"))
+    open_keys = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .where("lo < hi").select("key"))
+    left = cut_lineage(named.join(open_keys, "key", "left_semi"))
     pairs = _tiles(left, classes, percent).join(star, ["a", "b"], "left_anti")
-    found = cut_lineage(_verify(pairs, docs, size, percent))
-    if not complete:
-        links = cut_lineage(links.union(found))
-        return links, components(links)
-    of = named.select("doc_id", "comp").distinct()
-    across = (found.join(of.toDF("a", "comp_a"), "a").join(of.toDF("b", "comp_b"), "b")
-              .where("comp_a != comp_b").select("a", "b"))
-    return links.union(found), components(cut_lineage(links.union(across)))
+    links = cut_lineage(links.union(_verify(pairs, docs, size, percent)))
+    return links, components(links)
+
+
+def _links_within(n: np.ndarray, block: np.ndarray, sets: list[bytes], percent: int) -> np.ndarray:
+    """For each class of a tile its links: to all others where the tile has one block, else to those of the other block."""
+    value = np.frombuffer(b"".join(sets), np.uint64)
+    row = np.repeat(np.arange(len(n)), n)
+    _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+    again = times > 1                                    # a shingle of one class is in no overlap
+    row, column = row[again[column]], (np.cumsum(again) - 1)[column[again[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    mixed = block.min() != block.max()
+    one = np.flatnonzero(block == block.min())
+    two = np.flatnonzero(block != block.min()) if mixed else one
+    both = np.zeros((len(one), len(two)), np.int32)
+    for at in range(0, int(again.sum()), LINK_COLUMNS):
+        x, y = np.searchsorted(column, (at, at + LINK_COLUMNS))
+        has = np.zeros((len(n), LINK_COLUMNS), np.float32)          # sums of up to LINK_COLUMNS ones are exact
+        has[row[x:y], column[x:y] - at] = 1
+        both += (has[one] @ has[two].T).astype(np.int32)
+    linked = (both > 0) & _linked(n[one][:, None], n[two][None], both.astype(np.int64), percent)
+    out = np.zeros(len(n), np.int64)
+    if mixed:
+        out[one], out[two] = linked.sum(1), linked.sum(0)
+    else:
+        np.fill_diagonal(linked, False)
+        out = linked.sum(1)
+    return out
+
+
+def count_links(comp: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(class, class_links): for every class (doc_id, n) of a component (node, component) the number of classes that it links
+    with, all by exact intersections.  A component of two has its one link.  Larger ones are cut into blocks of about
+    LINK_ROWS classes or LINK_VALUES shingles, and each two blocks are compared in a task that puts out counts alone."""
+    named = cut_lineage(comp.join(classes.select(F.col("doc_id").alias("node"), "n"), "node"))
+    parts = named.groupBy("component").agg(F.count("*").alias("rows"), F.greatest(
+        F.ceil(F.count("*") / LINK_ROWS), F.ceil(F.sum("n") / LINK_VALUES)).cast("int").alias("blocks"))
+    dealt = named.join(parts, "component")
+    members = cut_lineage(dealt.where("rows > 2").select(F.col("node").alias("doc_id"), "component", "blocks"))
+    few = members.count() <= BROADCAST_IDS
+    texts = (fields(docs, "doc_id", "text").join(F.broadcast(members) if few else members, "doc_id")
+             .select("doc_id", "text", "component", "blocks"))
+
+    def make(batches):
+        for batch in batches:
+            sets = []
+            for _, _, value, first in _sets(batch, size):
+                sets += [value[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
+            if sets:
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3)), pa.array(sets, pa.binary())],
+                                                 names=["doc_id", "component", "blocks", "set"])
+
+    def count(batches):
+        held, of = [], None                              # rows of one tile: it holds at most two blocks
+
+        def tile():
+            if of[1] != of[2] and len({r[1] for r in held}) < 2:        # the other block is empty
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["class", "links"])
+            doc, first = np.unique([r[0] for r in held], return_index=True)     # repeated rows have one text
+            sets = [held[i][2] for i in first]
+            links = _links_within(np.array([len(v) // 8 for v in sets]), np.array([held[i][1] for i in first]), sets, percent)
+            some = links > 0
+            return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(links[some])], names=["class", "links"])
+
+        for batch in batches:
+            for key, *row in zip(zip(*(batch.column(i).to_pylist() for i in range(3))),
+                                 *(batch.column(i).to_pylist() for i in (3, 4, 5))):
+                if key != of and held:
+                    yield tile()
+                    held = []
+                of = key
+                held.append(row)
+        if held:
+            yield tile()
+
+    tiles = (texts.mapInArrow(make, "doc_id long, component long, blocks int, set binary")
+             .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id",
+                     "block", "set").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi"))
+    counted = tiles.mapInArrow(count, "class long, links long").groupBy("class").agg(F.sum("links").alias("class_links"))
+    return dealt.where("rows = 2").select(F.col("node").alias("class"), F.lit(1).cast("long").alias("class_links")).union(counted)
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, complete: bool = False) -> DataFrame:
@@ -352,16 +427,16 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, complete: boo
     100 * overlap >= percent * union.  component_id is the smallest doc_id reachable by links; class_id the smallest with
     the same set.  tree_links is the number of verified links of the row's class that connect its component: links that
     others imply are not compared, so a group of m different texts costs about m comparisons.  With ``complete`` every link
-    is verified and class_links is the number of classes that the row's class links with, at the price of m (m - 1) / 2
-    comparisons a group (7,045,609 candidate pairs on 0.5 GB of documents, 4.8 times the input of disk at 30 GB).  Rows with a
-    null doc_id come back with nulls.  Repeated doc_ids should have one text."""
+    is verified and class_links is the number of classes that the row's class links with: m (m - 1) / 2 comparisons a
+    group, in tiles that put out counts.  Rows with a null doc_id come back with nulls.  Repeated doc_ids should have one text."""
     docs = fields(docs, "doc_id", "text")
     rows = cut_lineage(shingle_rows(docs, size, percent, frequent_shingles(docs, size)))
     full = rows.where("n > 0 and doc_id is not null")
     classes = cut_lineage(full.groupBy("same1", "same2", "n").agg(F.min("doc_id").alias("doc_id")))
     heads = cut_lineage(full.join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links, comp = jaccard_links(heads, docs, size, percent, complete)
-    degree = (links.select(F.col("a").alias("class")).union(links.select("b"))
+    links, comp = jaccard_links(heads, docs, size, percent)
+    degree = (count_links(comp, heads, docs, size, percent) if complete else
+              links.select(F.col("a").alias("class")).union(links.select("b"))
               .groupBy("class").agg(F.count("*").alias("class_links")))
     named = (classes.withColumnRenamed("doc_id", "class").join(
         comp.select(F.col("node").alias("class"), "component"), "class", "left").join(degree, "class", "left"))

@@ -396,3 +396,26 @@ def test_jaccard_query_counts_every_link(spark, docs, tmp_path):
     links = {r["doc_id"]: r["class_links"] for r in jaccard_join.near_groups(docs, 4, 85, complete=True).collect()}
     got = {r["doc_id"]: r["class_links"] for r in QUERIES["op8_jaccard_join"](spark, str(tmp_path)).collect()}
     assert got == links and max(links.values()) > 0
+
+
+def test_jaccard_counts_links_in_tiles(spark, docs, monkeypatch):
+    """All links are counted from blocks of any size, and a task puts out a count per class and tile, not pairs."""
+    want = {r["doc_id"]: r["class_links"] for r in jaccard_join.near_groups(docs, 4, 70, complete=True).collect()}
+    full = [f"near copy {i} " + " ".join(f"w{j}" for j in range(60)) for i in range(40)]
+    many = spark.createDataFrame(list(enumerate(full)), "doc_id long, text string")
+    for rows, columns in ((1 << 10, 4096), (3, 7)):
+        monkeypatch.setattr(jaccard_join, "LINK_ROWS", rows)
+        monkeypatch.setattr(jaccard_join, "LINK_COLUMNS", columns)
+        assert {r["doc_id"]: r["class_links"] for r in jaccard_join.near_groups(docs, 4, 70, complete=True).collect()} == want
+        assert {r["class_links"] for r in jaccard_join.near_groups(many, 4, 85, complete=True).collect()} == {39}
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(30)]
+    for block in (np.zeros(30, int), rng.integers(0, 2, 30)):       # columns go in parts of 7
+        linked = [sum(i != j and (block[i] != block[j] or not block.any()) and 100 * len(np.intersect1d(x, y)) >= 50 * len(
+            np.union1d(x, y)) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+        got = jaccard_join._links_within(np.array(list(map(len, sets))), block, [x.tobytes() for x in sets], 50)
+        assert got.tolist() == linked and max(linked) > 0
+    comp = spark.createDataFrame([(i, 0) for i in range(40)], "node long, component long")
+    monkeypatch.setattr(jaccard_join, "LINK_ROWS", 1 << 10)
+    counted = jaccard_join.count_links(comp, many.select("doc_id", F.lit(60).cast("long").alias("n")), many, 4, 85)
+    assert "pairs(" not in counted._jdf.queryExecution().toString() and counted.count() == 40
