@@ -28,7 +28,7 @@ START = -1
 FREE = -2
 NO_RANK = 1 << 62
 STATES = 1 << 18            # states that a worker keeps, and pairs; a full table is emptied and refilled
-KNOWN = 1 << 17             # pieces that a worker keeps, likewise
+KNOWN = 1 << 19             # pieces that a worker keeps
 PIECES = 1 << 16            # pieces of a text that are held at a time
 BATCH_BYTES = 4 << 20       # ids or bytes in an Arrow batch, unless one row has more
 
@@ -40,12 +40,13 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 class State(dict):
     """byte -> (next state, ids emitted, packed).  Missing transitions are computed once.  ``ends[i]`` is the last token of
-    the encoding of the first i bytes of ``text``, for the places in ``live`` and those that their encodings pass."""
+    the encoding of the first i bytes of ``text``, for the places in ``live`` and those that their encodings pass.  ``tail``
+    holds the ids still pending if a piece ends here, once a piece has."""
 
-    __slots__ = ("last", "text", "ends", "live", "machine")
+    __slots__ = ("last", "text", "ends", "live", "machine", "tail")
 
     def __init__(self, machine: "Transducer", last: int, text: bytes, ends: tuple, live: tuple):
-        self.machine, self.last, self.text, self.ends, self.live = machine, last, text, ends, live
+        self.machine, self.last, self.text, self.ends, self.live, self.tail = machine, last, text, ends, live, None
 
     def __missing__(self, byte: int):
         move = self[byte] = self.machine.move(self, byte)
@@ -154,21 +155,26 @@ class Transducer:
                     keep = state
                     self.clear()
                     state = self._state(keep.last, keep.text, keep.ends, keep.live)
-        out += self.finish(state)
-        return bytes(out)
+        if state.tail is None:
+            state.tail = self.finish(state)
+        return bytes(out) + state.tail if out else state.tail
 
 
 class Pieces(dict):
-    """piece -> its packed ids, through the transducer on first sight."""
+    """piece -> its packed ids, through the transducer on first sight.  Half of ``KNOWN`` pieces make a generation; the one
+    before is kept, and what is asked for again moves on, so that frequent pieces stay."""
 
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.before = machine, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > KNOWN:
-            self.clear()
-        ids = self.machine.encode(piece.encode())
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.machine.encode(piece.encode())
         if len(piece) <= 64:
+            if len(self) >= KNOWN // 2:
+                self.before = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -249,7 +255,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id"
 
     Each row is on its own: null counts as the empty text and gives no ids; repeated rows and null keys stay as they are;
     other columns are left out, whatever their names; an empty table gives an empty one.  A task holds one text, its ids
-    and ``STATES`` states and pairs and ``KNOWN`` pieces at most (about 200 MB), so a text of n bytes takes about 10 n bytes
+    and ``STATES`` states and pairs and ``KNOWN`` pieces at most (about 300 MB), so a text of n bytes takes about 10 n bytes
     beside them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rule = known_pieces(vocabulary), regex.compile(pattern)

@@ -444,3 +444,15 @@ def test_language_filters_equal_plain_python(spark):
             assert r.score == pytest.approx(max(shares))
             if max(shares):
                 assert r.lang_pred == f.langs[int(np.argmax(shares))]
+
+
+def test_byte_bpe_keeps_frequent_pieces(monkeypatch):
+    """A piece that keeps coming is encoded once, however many others pass through the table of known pieces."""
+    from ridecast.llm import byte_bpe
+    monkeypatch.setattr(byte_bpe, "KNOWN", 8)
+    known = byte_bpe.Pieces(byte_bpe.Transducer({bytes((b,)): b for b in range(256)} | {b"th": 256, b"the": 257}))
+    seen, encode = [], known.machine.encode
+    monkeypatch.setattr(known.machine, "encode", lambda piece: seen.append(piece) or encode(piece))
+    got = [known[p] for i in range(40) for p in ("the", f"x{i}")]
+    assert seen.count(b"the") == 1 and len(seen) == 41 and len(known) + len(known.before) <= 8
+    assert got[0] == got[78] == (257).to_bytes(4, "little") and got[79] == b"".join(b.to_bytes(4, "little") for b in b"x39")
