@@ -95,6 +95,25 @@ def test_search(spark, data):
     assert len(maps) == 2 and maps == sample_grid(est, {"numTrees": [3, 6, 9], "maxDepth": [2, 5]}, 2, seed=1)
 
 
+def test_search_fits_folds_alone(spark, data, monkeypatch):
+    """The scores are CrossValidator's, of fits to the folds alone and to the columns that are named."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from pyspark.ml.tuning import CrossValidator
+    train, _ = data
+    est = DecisionTreeRegressor(seed=1)
+    maps = build_grid(est, {"maxDepth": [1, 3]})
+    want = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mae"), numFolds=3,
+                          foldCol="fold").fit(train).avgMetrics
+    seen, fit = [], DecisionTreeRegressor._fit
+    monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, df: seen.append(sorted(df.columns)) or fit(self, df))
+    res = cross_validate(spark, est, maps, train.withColumn("wide", F.lit("x")), "fold", 3)
+    assert seen == [["features", "fold", "label"]] * 6
+    assert [r.mean_mae for r in res.collect()] == pytest.approx(want)
+    with pytest.raises(ValueError):
+        cross_validate(spark, est, maps, train, "fold", 2)
+
+
 def test_explained_variance_search(spark, data):
     from ridecast.models.search import ExplainedVarianceEvaluator
     train, score = data
