@@ -456,3 +456,44 @@ def test_byte_bpe_keeps_frequent_pieces(monkeypatch):
     got = [known[p] for i in range(40) for p in ("the", f"x{i}")]
     assert seen.count(b"the") == 1 and len(seen) == 41 and len(known) + len(known.before) <= 8
     assert got[0] == got[78] == (257).to_bytes(4, "little") and got[79] == b"".join(b.to_bytes(4, "little") for b in b"x39")
+
+
+# --- edit distances of lines: beginnings first ----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("beginning", [0.3, 1.0, 1.5, 4.0])
+def test_beginnings_lose_no_pair(spark, monkeypatch, beginning):
+    """Edits at either end, moved parts and unequal lengths, near the limit on both sides; any length of beginnings."""
+    rng = random.Random(9)
+    texts, pairs = [], []
+    for size in (5, 12, 30, 80, 200):
+        for _ in range(60):
+            x = "".join(rng.choice("abcd é") for _ in range(size))
+            y, k = list(x), max(1, round(size * rng.choice((0.1, 0.18, 0.2, 0.22, 0.3))))
+            at = rng.choice((0, size - k, rng.randrange(size)))
+            kind = rng.randrange(4)
+            if kind == 0:
+                del y[at:at + k]
+            elif kind == 1:
+                y[at:at] = [rng.choice("xyz") for _ in range(k)]
+            elif kind == 2:                             # a part moved from one end to the other
+                y = y[k // 2:] + y[:k // 2]
+            else:
+                for i in rng.sample(range(size), min(k, size)):
+                    y[i] = "x"
+            texts += [x, "".join(y)]
+            pairs.append((len(texts) - 2, len(texts) - 1)[::rng.choice((1, -1))])
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, q in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+        return row[-1]
+
+    near = {(a, b) for a, b in pairs if edits(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9}
+    assert 60 < len(near) < len(pairs) - 60
+    monkeypatch.setattr(line_dedup, "BEGINNING", beginning)
+    codes = spark.createDataFrame(list(enumerate(texts)), "node long, code string")
+    given = spark.createDataFrame(pairs, "a long, b long")
+    assert {tuple(r) for r in line_dedup._verified(given, codes, 0.8).collect()} == near
