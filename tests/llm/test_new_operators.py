@@ -497,3 +497,16 @@ def test_beginnings_lose_no_pair(spark, monkeypatch, beginning):
     codes = spark.createDataFrame(list(enumerate(texts)), "node long, code string")
     given = spark.createDataFrame(pairs, "a long, b long")
     assert {tuple(r) for r in line_dedup._verified(given, codes, 0.8).collect()} == near
+
+
+def test_long_lines_with_many_typos_meet(spark):
+    """One character in ten replaced leaves few words whole; most such lines are near and must become candidates."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdeghiklmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
+    lines = []
+    for _ in range(60):
+        text = " ".join(rng.choice(vocab) for _ in range(20))
+        lines += [text, "".join(rng.choice("vwxyz") if c != " " and rng.random() < 0.1 else c for c in text)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group"] for r in line_dedup.line_groups(docs, edits="characters").collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 120, 2)) >= 36
