@@ -510,3 +510,21 @@ def test_long_lines_with_many_typos_meet(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r["doc_id"]: r["group"] for r in line_dedup.line_groups(docs, edits="characters").collect()}
     assert sum(got[i] == got[i + 1] for i in range(0, 120, 2)) >= 36
+
+
+def test_frequent_pieces_are_counted_in_every_line(spark):
+    """Documents of any id count, and no piece is left out because many others are frequent, too."""
+    ids = [r["id"] for r in spark.range(4000).where("pmod(xxhash64(id), 16) <> 0").limit(300).collect()]
+    docs = spark.createDataFrame([(i, f"ab{chr(97 + n % 26)}{chr(97 + n // 26)} always the same end") for n, i in enumerate(ids)],
+                                 "doc_id long, text string")
+    lines = line_dedup.hashed_lines(docs)
+    counts = {}
+    for r in lines.collect():
+        for h in (r["short"] or []) + (r["grams"] or []) + (r["starts"] or []):
+            counts[h] = counts.get(h, 0) + 1
+    expected = {h: (c // 8).bit_length() for h, c in counts.items() if c >= 8}
+    assert expected and line_dedup.frequent_pieces(lines) == expected
+    last = {h for h, c in counts.items() if c == len(ids)}
+    for r in line_dedup.sketches(lines, expected).collect():
+        times = [h >> line_dedup.HASH_BITS for h in r["grams"]]
+        assert times == sorted(times) and all(h >> line_dedup.HASH_BITS for h in r["grams"] if h & (1 << line_dedup.HASH_BITS) - 1 in last)
