@@ -528,3 +528,25 @@ def test_frequent_pieces_are_counted_in_every_line(spark):
     for r in line_dedup.sketches(lines, expected).collect():
         times = [h >> line_dedup.HASH_BITS for h in r["grams"]]
         assert times == sorted(times) and all(h >> line_dedup.HASH_BITS for h in r["grams"] if h & (1 << line_dedup.HASH_BITS) - 1 in last)
+
+
+def test_word_alignments_bound_the_edit_distance(spark):
+    """The numbers that settle near pairs early are never below the distance, and close to it for words removed or put in."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    rows = []
+    for n in range(150):
+        x = [rng.choice(vocab) for _ in range(rng.randint(2, 30))]
+        y = list(x)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(y))
+            y[at:at + rng.randint(0, 1)] = [rng.choice(vocab)] * rng.randint(0 if len(y) > 3 else 1, 2)
+        rows.append((" ".join(x), " ".join(y)))
+    far = [f"w{i}" for i in range(60)]
+    rows.append((" ".join(far), " ".join(w for i, w in enumerate(far) if i % 10)))      # six words gone, one after the other
+    pairs = spark.createDataFrame(rows, "x string, y string").selectExpr("x", "y", "split(x, ' ') as s", "split(y, ' ') as t")
+    got = pairs.selectExpr("x", "levenshtein(x, y) as d", f"{line_dedup._aligned('s', 't')} as aligned",
+                           f"{line_dedup._word_edits('s', 't')} as counted").collect()
+    assert all(r["aligned"] >= r["d"] and r["counted"] >= r["d"] for r in got)
+    drifted = [r for r in got if r["x"] == rows[-1][0]]
+    assert [r["aligned"] for r in drifted] == [r["d"] for r in drifted]
