@@ -281,3 +281,41 @@ def test_stacked_models_share_a_worker(spark, data):
     stacked = StackingTransformer(learners, folds=2, strata=1, key="id").fit(df)
     plan = stacked.transform(df)._jdf.queryExecution().executedPlan().toString()
     assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 1
+
+
+# --- few rows: whole trees in one task ---------------------------------------
+
+def test_held_rows_grow_the_same_trees(data, monkeypatch):
+    from ridecast.models import trees
+    df, _, _ = data
+    kinds = [dict(splitter="random", bootstrap=False, maxDepth=60), dict(maxDepth=4, maxFeatures=0.5, minSplit=9.0, minDecrease=0.001),
+             dict(criterion="absolute", maxDepth=3), dict(splitter="random", criterion="absolute", maxDepth=3, maxFeatures=0.5)]
+    for kind in kinds:
+        forest, got = LevelForest(numTrees=3, keyCol="id", seed=4, **kind), []
+        for held, cells in ((1 << 22, 1 << 20), (1 << 22, 1), (0, 1 << 20)):
+            monkeypatch.setattr(trees, "HELD", held)
+            monkeypatch.setattr(trees, "CELLS", cells)
+            if held or kind["maxDepth"] < 60:
+                got.append(forest.fit(df).to_rows())
+        assert all(g == got[0] for g in got) and '"feature": [-1]' not in got[0][0]
+
+
+def test_boosting_queries_have_the_sources_sizes(monkeypatch):
+    """Rounds, trees, depth, draws, grid and folds of the source's AdaBoost script."""
+    from ridecast.plans import forecast
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **given):
+        seen.append((args, given))
+        raise Stop
+
+    seen = []
+    monkeypatch.setattr(forecast, "prepared", lambda spark, d, folds=None: (None, None))
+    monkeypatch.setattr(forecast, "AdaBoost", stop)
+    with pytest.raises(Stop):
+        forecast.q_adaboost_r2(None, "")
+    given = seen.pop()[1]
+    base = {p.name: v for p, v in given["base"].extractParamMap().items()}
+    assert given["numRounds"] == 8 and base["numTrees"] == 10 and base["maxDepth"] >= 60 and base["maxFeatures"] == 1.0
