@@ -300,6 +300,26 @@ def test_held_rows_grow_the_same_trees(data, monkeypatch):
         assert all(g == got[0] for g in got) and '"feature": [-1]' not in got[0][0]
 
 
+def test_ridge_is_the_closed_form(spark):
+    """With an intercept and without, which is kernel ridge with the linear kernel; weights count rows."""
+    from ridecast.models.estimators import Ridge
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 3)) + 2
+    y, times = x @ [1.0, -2.0, 0.5] + 5 + rng.normal(size=40), rng.integers(1, 4, 40)
+    df = frame(spark, x, y)
+    weighted = spark.createDataFrame([(i, int(t)) for i, t in enumerate(times)], "id long, times int")
+    df = df.withColumn("id", F.col("id").cast("long")).join(weighted, "id")
+    xs, ys = np.repeat(x, times, 0), np.repeat(y, times)
+    centred = xs - xs.mean(0)
+    slopes = np.linalg.solve(centred.T @ centred + 3 * np.eye(3), centred.T @ (ys - ys.mean()))
+    got = Ridge(alpha=3.0, weightCol="times").fit(df)
+    assert got.coefficients.toArray() == pytest.approx(slopes) and got.intercept == pytest.approx(ys.mean() - xs.mean(0) @ slopes)
+    dual = np.linalg.solve(xs @ xs.T + 3 * np.eye(len(xs)), ys)
+    model = Ridge(alpha=3.0, fitIntercept=False, weightCol="times").fit(df)
+    made = {r.id: r.prediction for r in model.transform(df).collect()}
+    assert [made[i] for i in range(40)] == pytest.approx(x @ xs.T @ dual)
+
+
 def test_boosting_queries_have_the_sources_sizes(monkeypatch):
     """Rounds, trees, depth, draws, grid and folds of the source's AdaBoost script."""
     from ridecast.plans import forecast
@@ -311,8 +331,16 @@ def test_boosting_queries_have_the_sources_sizes(monkeypatch):
         seen.append((args, given))
         raise Stop
 
-    seen = []
-    monkeypatch.setattr(forecast, "prepared", lambda spark, d, folds=None: (None, None))
+    seen, folds = [], []
+    monkeypatch.setattr(forecast, "prepared", lambda spark, d, folds=None: (folds_seen(folds), None))
+    folds_seen = folds.append
+    monkeypatch.setattr(forecast, "Search", stop)
+    with pytest.raises(Stop):
+        forecast.q_random_search(None, "")
+    (_, _, maps), = seen.pop()[0][0]
+    assert folds == [5] and len(maps) == 10
+    values = {p.name: {str(m[p]) for m in maps} for p in maps[0]}
+    assert values["numRounds"] <= {"2", "5", "8", "10", "20"} and len(values["base"]) == 3
     monkeypatch.setattr(forecast, "AdaBoost", stop)
     with pytest.raises(Stop):
         forecast.q_adaboost_r2(None, "")
