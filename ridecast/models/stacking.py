@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.param import Params
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,18 @@ class StackingTransformer:
 
     def fit(self, train: DataFrame) -> "StackingModel":
         cuts = stratified_cuts(train, self.key, self.label, self.folds, self.strata, self.seed)
-        dealt = train.withColumn("_fold", stratified_fold(self.key, self.label, cuts, self.seed))
+        # learners read their rows several times: rows are dealt once, with the columns alone that the learners name
+        given = [v for learner in self.learners.values() for v in learner.extractParamMap().values()]
+        plain = not any(isinstance(v, Params) for v in given)          # the columns of a learner's own estimators are not known here
+        named = {v for v in given if isinstance(v, str)}
+        dealt = train.select(*[c for c in train.columns if c in named or not plain], stratified_fold(self.key, self.label, cuts, self.seed)
+                             .alias("_fold")).persist()
         jobs = [(i, name) for i in range(self.folds) for name in self.learners]
-        models = fit_all([lambda i=i, name=name: self.learners[name].fit(dealt.where(F.col("_fold") != i))
-                          for i, name in jobs], self.parallelism)
+        try:
+            models = fit_all([lambda i=i, name=name: self.learners[name].fit(dealt.where(F.col("_fold") != i))
+                              for i, name in jobs], self.parallelism)
+        finally:
+            dealt.unpersist()
         return StackingModel(dict(zip(jobs, models)), list(self.learners), self.folds, cuts, self.seed, self.key, self.label)
 
 

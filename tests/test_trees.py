@@ -347,3 +347,18 @@ def test_boosting_queries_have_the_sources_sizes(monkeypatch):
     given = seen.pop()[1]
     base = {p.name: v for p, v in given["base"].extractParamMap().items()}
     assert given["numRounds"] == 8 and base["numTrees"] == 10 and base["maxDepth"] >= 60 and base["maxFeatures"] == 1.0
+
+
+def test_stacked_learners_read_dealt_rows(spark, data, monkeypatch):
+    """Rows are dealt to folds once, with the columns that learners name, not in each of their passes."""
+    df, _, _ = data
+    seen, fit = [], LevelForest._fit
+
+    def recorded(self, rows):
+        seen.append((set(rows.columns), rows._jdf.queryExecution().executedPlan().toString()))
+        return fit(self, rows)
+
+    monkeypatch.setattr(LevelForest, "_fit", recorded)
+    StackingTransformer({"a": LevelForest(numTrees=1, maxDepth=1, keyCol="id")}, folds=2, strata=1, key="id").fit(
+        df.withColumn("text", F.lit("not read by any learner")))
+    assert len(seen) == 2 and all(c == {"features", "label", "id", "_fold"} and "InMemoryTableScan" in plan for c, plan in seen)
